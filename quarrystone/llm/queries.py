@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dup, language_id, language_model, mixing, near_dup, quality, toxicity
+from . import embedding_dup, fingerprint, language_id, language_model, mixing, near_dup, quality, sentencepiece_codec, token_count, toxicity
 from ._common import crc_mod, table
 
 #: Target weights of the mix: sources of the synthetic tables in four classes.
 WEIGHTS = {f"src{i}": 1 + i % 4 for i in range(20)}
 
+#: The piece vocabulary of the encoding queries; the folder is a parameter of the environment.
+MODEL = os.path.join(os.environ.get("TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
+
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -26,10 +31,25 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(docs, language_model.train(docs.where("not held_out")))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, MODEL), MODEL)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=4)
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, MODEL).select("doc_id", "n_tokens")
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text", "lang")
     return language_id.classify(docs.drop("lang"), language_id.train(docs.where("not held_out"))).drop("text")
@@ -47,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).drop("text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_language_model, op5_minhash_near_dup, op8_language_id, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_language_model, op4_sentencepiece, op5_minhash_near_dup, op6_fingerprints, op7_token_counts, op8_language_id, op9_toxicity, op10_quality)}
 
 _OP1 = f"""
 WITH RECURSIVE
