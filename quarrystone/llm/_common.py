@@ -103,3 +103,32 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         discard(parent, e, hook)
         parent, e = new_parent, new_e
     return parent
+
+
+def groups(batches):
+    """Tables of one group each, from batches sorted by their first column; a group that crosses batches is joined."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        cuts = np.r_[0, np.flatnonzero(np.diff(key)) + 1, len(key)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(0)[0].as_py() != key[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The smallest id that each of n positions reaches by links between positions a and b."""
+    low = ids.copy()
+    while True:
+        new = low.copy()
+        np.minimum.at(new, a, low[b])
+        np.minimum.at(new, b, low[a])
+        if (new == low).all():
+            return low
+        low = new

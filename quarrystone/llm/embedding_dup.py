@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, stored
+from ._common import components, local_roots, stored
 
 TABLES = 6
 SUBSTRING = 16
@@ -77,18 +77,6 @@ def _local(ids: np.ndarray, tile: np.ndarray, x: np.ndarray, keys: np.ndarray, a
     return a[first & differ], b[first & differ]
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """The smallest id that each position reaches."""
-    low = ids.copy()
-    while True:
-        new = low.copy()
-        np.minimum.at(new, a, low[b])
-        np.minimum.at(new, b, low[a])
-        if (new == low).all():
-            return low
-        low = new
-
-
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", label: str = "label", threshold: float = 0.98, tables: int = TABLES, bits: int = SUBSTRING, tile: int = TILE, sample: int = SAMPLE) -> DataFrame:
     """One row per row of ``vectors``: id_col, n_links (distinct rows linked directly), component_id, kept."""
     spark = vectors.sparkSession
@@ -164,7 +152,7 @@ def _links(part: DataFrame, model, threshold: float, bits: int, tile: int) -> Da
             out_b.append(b + s)
         a, b = np.concatenate([*out_a, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*out_b, np.zeros(0, np.int64)]).astype(np.int64)
         if len(a):
-            root = _roots(len(ids), a, b, ids)
+            root = local_roots(len(ids), a, b, ids)
             n = np.bincount(np.r_[a, b], minlength=len(ids))
             kept = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(n[kept]), pa.array(root[kept])], ["id", "n", "root"])
