@@ -38,7 +38,7 @@ LONG = 64
 PLAIN = 12
 LISTED = 32
 BITMAP = 26
-TILE = 256
+TILE = 1024
 #: Slots of consecutive values that a document with few plain ones is listed under.
 RUN = 3
 
