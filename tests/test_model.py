@@ -22,7 +22,11 @@ def test_warehouse_measures(spark):
     assert rows(o.compile("utilisation_pct")) == [(65.3,)]
     assert rows(o.compile("below_reorder_lots")) == [(3,)] and rows(o.compile("overdue_audits")) == [(2,)]
     assert rows(o.compile("net_movement_kg", filters=[("transaction", "sku", "=", "SKU-ALPHA")])) == [(-700.0,)]
-    assert o.compile("outbound_kg", [("supplier", "country")]).reason in ("ambiguous_path", "fanout_refused")
+    assert o.links["txn_of_lot"].cardinality == "many_to_one"
+    more = warehouse.sample(spark)
+    more["inventory"] = more["inventory"].union(spark.createDataFrame([("RS622XK", "WH-B", 1.0, 1.0, 1.0, "SUP-02", "RAW", None)], warehouse.SCHEMAS["inventory"]))
+    other, _ = warehouse.warehouse(spark, more, datetime.date(2026, 10, 1))
+    assert other.compile("outbound_kg", [("supplier", "country")]).reason == "fanout_refused"
     assert rows(warehouse.answer("top 2 risk suppliers", o)) == [("Orbit Packing", 0.41), ("Peninsula Polymers", 0.337)]
     assert warehouse.answer("forecast sales", o).reason == "predictive" and warehouse.answer("hello", o).reason == "unknown_measure"
     assert len(warehouse.answer("top 50 sales", o).frame.collect()) <= 20
