@@ -384,10 +384,14 @@ JOINS = {
     "fan": "SELECT SUM(c_acctbal) AS v FROM orders JOIN customer ON o_custkey = c_custkey",
     "off_link": "SELECT COUNT(*) AS n FROM orders JOIN customer ON o_orderkey = c_custkey",
     "extreme": "SELECT MAX(c_acctbal) AS v FROM orders LEFT JOIN customer ON o_custkey = c_custkey",
+    "member": "SELECT SUM(o_totalprice) AS v FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)",
+    "exists": "SELECT COUNT(*) AS n FROM orders WHERE EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey)",
+    "threshold": "SELECT COUNT(*) AS n FROM orders WHERE o_totalprice > (SELECT AVG(o_totalprice) FROM orders)",
+    "off_member": "SELECT COUNT(*) AS n FROM orders WHERE o_orderkey IN (SELECT c_custkey FROM customer)",
 }
 
 
-@query("SELECT * FROM (VALUES ('sound', 'pass'), ('fan', 'fan_trap'), ('off_link', 'unverified_join'), ('extreme', 'pass')) t(statement, outcome)")
+@query("SELECT * FROM (VALUES ('sound', 'pass'), ('fan', 'fan_trap'), ('off_link', 'unverified_join'), ('extreme', 'pass'), ('member', 'pass'), ('exists', 'pass'), ('threshold', 'pass'), ('off_member', 'unverified_join')) t(statement, outcome)")
 def governance_free_sql_joins(spark, d):
     _views(spark, d, "orders", "customer")
     o = sales(spark, d)

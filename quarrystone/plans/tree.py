@@ -27,6 +27,7 @@ class Node:
     names: tuple[str, ...] = ()
     ctes: dict[str, Node] = field(default_factory=dict)
     id: int | None = None
+    output: tuple[int, ...] = ()
 
     def walk(self) -> Iterator[Node]:
         """This node and all below it, subqueries and CTE bodies included."""
@@ -47,8 +48,12 @@ def _expression(e) -> Node:
     out = Node(kind, e.toString(), [_expression(c) for c in _seq(e.children())])
     if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
         out.plans.append(_plan(e.plan()))
+        if e.plan().resolved():
+            out.plans[-1].output = tuple(a.exprId().id() for a in _seq(e.plan().output()))
     if kind in ("AttributeReference", "Alias"):
         out.names, out.id = (e.name(),), e.exprId().id()
+    elif kind == "OuterReference":
+        out.names, out.id = (e.name(),), e.exprId().id()
     elif kind == "UnresolvedAttribute":
         out.names = tuple(_seq(e.nameParts()))
     elif kind == "UnresolvedFunction":
