@@ -56,6 +56,7 @@ ROWS = {
         ("T015", "SKU-ALPHA", "WH-B", "outbound", 400.0, 2.10, _TIME("2026-07-25 13:00:00")),
     ],
 }
+AUDIT_DAYS = 90
 OUT, IN, LOSS = ("OUT", "outbound"), ("IN", "inbound"), ("WRITE_OFF",)
 
 
@@ -99,7 +100,7 @@ def warehouse(spark: SparkSession, tables: dict[str, DataFrame], as_of: datetime
     o.add_measure("utilisation_pct", "location", lambda: F.round(100.0 * ratio(F.sum("current_load_kg"), F.sum("capacity_kg")), 1), additive=False)
     o.add_measure("below_reorder_lots", "lot", lambda: F.count(F.when((qty < F.col("reorder_level_kg")) & (F.col("reorder_level_kg") > 0), 1)))
     o.add_measure("supplier_rank_score", "supplier", lambda: F.round(F.max("risk_score") * 0.65 + F.max("lead_time_days") / 60.0 * 0.35, 3), additive=False)
-    o.add_measure("overdue_audits", "supplier", lambda: F.count(F.when(F.col("last_audit_date") < F.date_sub(F.lit(as_of), 365), 1)))
+    o.add_measure("audit_overdue", "supplier", lambda: F.count(F.when(F.col("last_audit_date") < F.date_sub(F.lit(as_of), AUDIT_DAYS), 1)))
     o.verify()
     return o, missing
 

@@ -20,7 +20,7 @@ def test_warehouse_measures(spark):
     assert rows(o.compile("outbound_value_myr", [("product", "category")], filters=[("product", "category", "=", "RAW")])) == [("RAW", 870 * 4.5 + 200 * 5.2)]
     assert rows(o.compile("stock_value_myr")) == [(1200 * 4.5 + 80 * 5.2 + 3400 * 2.1 + 900 * 8.75 + 150 * 12 + 60 * 6.4 + 2100 * 3.25,)]
     assert rows(o.compile("utilisation_pct")) == [(65.3,)]
-    assert rows(o.compile("below_reorder_lots")) == [(3,)] and rows(o.compile("overdue_audits")) == [(2,)]
+    assert rows(o.compile("below_reorder_lots")) == [(3,)] and rows(o.compile("audit_overdue")) == [(2,)]
     assert rows(o.compile("net_movement_kg", filters=[("transaction", "sku", "=", "SKU-ALPHA")])) == [(-700.0,)]
     assert o.links["txn_of_lot"].cardinality == "many_to_one"
     more = warehouse.sample(spark)
@@ -67,3 +67,42 @@ def test_documents(spark, tmp_path):
     got = documents.chunk_table(docs, "path", size=4).orderBy("chunk_index").collect()
     assert [r.text for r in got] == ["one", "two"] and len(got[0].vector) == 64
     assert documents.chunk_table(docs.withColumn("text", F.lit(None).cast("string")), "path").isEmpty()
+
+
+def test_context(spark):
+    import datetime as dt
+
+    from quarrystone.plans import context
+
+    tables = warehouse.sample(spark)
+    found = context.value_index(tables)
+    assert found.values["inventory", "category"] == ("CHEMICALS", "PACKAGING", "PARTS", "RAW")
+    assert ("transactions", "txn_id") in context.value_index(tables, total_cap=40).unchecked
+    hints = context.shortlist("stock of packaging by location", tables, found)
+    assert (hints[0].table, hints[0].column, hints[0].values) == ("inventory", "category", ("PACKAGING",)) and len(hints) <= 48
+    assert sum(len(x) + 1 for x in context.pack(hints, 20)) <= 80
+    columns, day = {"location": ["is_cold_storage"], "supplier": ["last_audit_date"]}, dt.date(2026, 10, 1)
+    assert context.typed_filters("cold storage", columns, {}, day) == [("location", "is_cold_storage", "=", True)]
+    assert context.typed_filters("not in cold storage", columns, {}, day) == [("location", "is_cold_storage", "=", False)]
+    assert context.typed_filters("overdue audits", columns, {}, day) == [("supplier", "last_audit_date", "<", dt.date(2026, 7, 3))]
+    assert context.typed_filters("expired lots", columns, {}, day) is None and context.typed_filters("sales", columns, {}, day) == []
+    assert set(context.samples(spark.range(1000).selectExpr("cast(id as string) as c"), ["c"])["c"]) <= {str(i) for i in range(1000)}
+
+
+def test_sheets():
+    import zipfile
+    from io import BytesIO
+
+    from quarrystone.sources import sheets
+
+    data = sheets.xlsx([{"a": "=1+1", "b": 2.5}, {"a": "x<y", "b": None}])
+    sheet = zipfile.ZipFile(BytesIO(data)).read("xl/worksheets/sheet1.xml").decode()
+    assert "'=1+1" in sheet and "x&lt;y" in sheet and "<v>2.5</v>" in sheet
+
+
+def test_sheet_questions(spark):
+    from quarrystone.sources import sheets
+
+    df = spark.createDataFrame([(" A ", "1.5"), ("A", "2"), ("B", "x"), ("B", "3"), ("", "9"), (None, "9")], "category string, v string")
+    assert [tuple(r) for r in sheets.top_groups(df, "category", "v", 1).collect()] == [("A", 3.5)]
+    assert tuple(sheets.total_where(df, "v", "category", "B").first()) == (3.0, 2)
