@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
 
@@ -52,9 +54,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, text: str, limit: int = 4 << 20):
+def lean(run):
+    """A worker function that gives freed memory back when its task ends; workers are kept and stages follow each other."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+                trim(0)
+
+    return task
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Texts are long: bound the rows of an Arrow batch, so that a worker and its executor hold a few MB of text at a time."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
+def with_text(docs: DataFrame, text: str, added: list[str], keep_text: bool = True) -> tuple[DataFrame, list[str], int]:
+    """What is sent to workers (the text once), the columns that come back before ``added``, and the text's place."""
+    small_batches(docs.sparkSession)
+    docs = docs.drop(*[c for c in added if c != text])
+    kept = [c for c in docs.columns if keep_text or c != text]
+    if keep_text:
+        return docs, kept, kept.index(text)
+    return docs.select(*kept, F.col(text).alias("__t")), kept, len(kept)
+
+
+def slices(batch: pa.RecordBatch, text: str | int, limit: int = 1 << 20):
     """Cut a batch into runs of rows whose text holds about ``limit`` bytes, so working arrays stay bounded."""
-    col = batch.column(batch.schema.get_field_index(text))
+    col = batch.column(text if isinstance(text, int) else batch.schema.get_field_index(text))
     sizes = np.asarray(pc.binary_length(col).fill_null(0)).astype(np.int64)
     if not len(sizes):
         return

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, local_roots, stored
+from ._common import components, lean, local_roots, stored
 
 TABLES = 6
 SUBSTRING = 16
@@ -157,13 +157,13 @@ def _links(part: DataFrame, model, threshold: float, bits: int, tile: int) -> Da
             kept = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(n[kept]), pa.array(root[kept])], ["id", "n", "root"])
 
-    codes = stored(part.select("id", "label", "v").mapInArrow(coded, "id long, label string, v array<double>, keys array<int>"), "codes")
-    entries = codes.select("id", "label", F.posexplode("keys").alias("at", "k")).withColumn("bucket", F.xxhash64("label", "at", "k"))
+    codes = stored(part.select("id", "label", "v").mapInArrow(lean(coded), "id long, label string, v array<double>, keys array<int>").withColumn("rid", F.xxhash64("id", "label", "v")), "codes")
+    entries = codes.select("rid", "id", "label", F.posexplode("keys").alias("at", "k")).withColumn("bucket", F.xxhash64("label", "at", "k"))
     sizes = entries.groupBy("bucket").agg(F.count("*").alias("m")).where("m > 1").withColumn("tiles", F.ceil(F.col("m") / tile))
-    met = entries.select("id", "at", "bucket").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("id", "bucket"), F.col("tiles")))
+    met = entries.select("rid", "id", "at", "bucket").join(sizes, "bucket").withColumn("own", F.pmod(F.xxhash64("rid", "bucket"), F.col("tiles")))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
-    met = met.select(F.xxhash64("bucket", lo, hi).alias("grp"), "id", "at", (lo != hi).alias("crossed"), "own")
-    full = met.join(codes.select("id", "v", "keys"), "id").select("grp", "id", "v", "keys", "at", "crossed", "own")
+    met = met.select(F.xxhash64("bucket", lo, hi).alias("grp"), "rid", "at", (lo != hi).alias("crossed"), "own")
+    full = met.join(codes.select("rid", "id", "v", "keys"), "rid").select("grp", "id", "v", "keys", "at", "crossed", "own")
     n = int(part.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(joined, "id long, n long, root long")
+    return full.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lean(joined), "id long, n long, root long")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import lean, slices, small_batches, with_text
 
 DIM = 1024
 #: Letter classes: 0 is the edge of a word, 1-26 the ASCII letters, 27-63 all other letters by code point.
@@ -43,12 +43,13 @@ class Profiles:
         letters = letter_vectors(dim)
         self.a, self.b, self.c = np.roll(letters, 2, 1), np.roll(letters, 1, 1), letters
         self.row = np.full(CLASSES**3, -1, np.int32)
-        self.vectors = np.zeros((0, dim), np.float32)
+        self.vectors = np.zeros((0, dim), np.int8)
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         new = np.flatnonzero(np.bincount(codes[self.row[codes] < 0], minlength=CLASSES**3))
         if len(new):
             made = self.a[new // CLASSES**2] * self.b[new // CLASSES % CLASSES] * self.c[new % CLASSES]
+            made = made.astype(np.int8)
             self.row[new] = np.arange(len(self.vectors), len(self.vectors) + len(new))
             self.vectors = np.concatenate([self.vectors, made])
         return self.row[codes]
@@ -58,8 +59,9 @@ class Profiles:
         lowered = [(t or "").lower() for t in texts]
         points = np.frombuffer("".join(lowered).encode("utf-32-le", "surrogatepass"), np.uint32)
         first = np.cumsum([0, *map(len, lowered)])
-        kind = letter_classes()[points].astype(np.int64)
-        left, right = np.r_[0, kind[:-1]][: len(kind)], np.r_[kind[1:], 0][: len(kind)]
+        kind = letter_classes()[points].astype(np.int32)
+        left, right = np.zeros_like(kind), np.zeros_like(kind)
+        left[1:], right[:-1] = kind[:-1], kind[1:]
         filled = first[:-1][first[:-1] < first[1:]]
         left[filled] = 0
         right[filled[1:] - 1] = 0
@@ -71,7 +73,7 @@ class Profiles:
             if bounds[d] < bounds[d + 1]:
                 count = np.bincount(rows[bounds[d] : bounds[d + 1]])
                 seen = np.flatnonzero(count)
-                out[d] = count[seen].astype(np.float32) @ self.vectors[seen]
+                out[d] = count[seen].astype(np.float32) @ self.vectors[seen].astype(np.float32)
         return out
 
 
@@ -85,6 +87,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
     What reaches the driver is one vector per language.
     """
 
+    small_batches(docs.sparkSession)
+
     def partial(batches):
         p, sums = _profiles(dim), {}
         for batch in batches:
@@ -99,30 +103,29 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
             yield pa.RecordBatch.from_arrays([pa.array([name] * dim), pa.array(np.arange(dim, dtype=np.int32)), pa.array(v)], ["lang", "i", "v"])
 
     rows = docs.select(F.col(text).alias("__t"), F.col(lang).alias("__l")).where("__l is not null and __t is not null")
-    sums = rows.mapInArrow(partial, "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
+    sums = rows.mapInArrow(lean(partial), "lang string, i int, v double").groupBy("lang", "i").agg(F.sum("v").alias("v"))
     packed = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("v")).collect()
     return {r.lang: np.array([x.v for x in r.v]) for r in packed}
 
 
-def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM) -> DataFrame:
+def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", dim: int = DIM, keep_text: bool = True) -> DataFrame:
     """Add ``lang_pred`` and ``score`` (the cosine, cut at 0) to every row of ``docs``; columns of those names are replaced."""
     names = sorted(prototypes)
     matrix = np.array([prototypes[n] / (np.linalg.norm(prototypes[n]) or 1) for n in names]).reshape(len(names), dim)
-    docs = docs.drop("lang_pred", "score")
-    kept = [c for c in docs.columns if c != "__t"]
+    sent_rows, kept, at = with_text(docs, text, ["lang_pred", "score"], keep_text)
 
     def run(batches):
         p = _profiles(dim)
         for batch in batches:
-            for part in slices(batch, "__t"):
-                v = p.documents(part.column(part.num_columns - 1).to_pylist()).astype(np.float64)
+            for part in slices(batch, at):
+                v = p.documents(part.column(at).to_pylist()).astype(np.float64)
                 norm = np.linalg.norm(v, axis=1)
                 cos = v @ matrix.T / np.where(norm > 0, norm, 1)[:, None] if names else np.zeros((len(v), 1))
                 best = cos.argmax(1)
                 known = (norm > 0) & bool(names)
                 pred = [names[b] if k else "und" for b, k in zip(best, known, strict=True)]
                 score = np.where(known, np.clip(cos[np.arange(len(cos)), best], 0, 1), 0.0)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pred, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(pred, pa.string()), pa.array(score)], [*kept, "lang_pred", "score"])
 
-    schema = docs.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return docs.select(*kept, F.col(text).alias("__t")).mapInArrow(run, schema)
+    schema = sent_rows.select(*kept).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    return sent_rows.mapInArrow(lean(run), schema)

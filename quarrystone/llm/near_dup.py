@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import components, discard, groups, local_roots, slices, stored, utf8
+from ._common import components, discard, groups, lean, local_roots, slices, small_batches, stored, utf8
 from ._words import Words, distinct, list_array, mix, shingles
 
 SKETCH = 64
@@ -58,7 +58,7 @@ def _described(docs: DataFrame, id_col: str, text: str, size: int, sketch: int)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(first)), *map(pa.array, sums), list_array((values[pick] ^ np.uint64(1 << 63)).view(np.int64), start, pa.int64())], ["id", "n", "h1", "h2", "sketch"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__t"))
-    return rows.mapInArrow(run, "id long, n long, h1 long, h2 long, sketch array<long>")
+    return rows.mapInArrow(lean(run), "id long, n long, h1 long, h2 long, sketch array<long>")
 
 
 def _lists(reps: DataFrame, listed: int, long: int, plain: int) -> DataFrame:
@@ -109,7 +109,7 @@ def _texts(docs: DataFrame, id_col: str, text: str, pairs: DataFrame) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(hit)), pa.array(packed, pa.binary())], ["id", "packed"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__t")).where("id is not null")
-    return rows.select("id", spot.alias("h"), "__t").mapInArrow(run, "id long, packed binary")
+    return rows.select("id", spot.alias("h"), "__t").mapInArrow(lean(run), "id long, packed binary")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -137,7 +137,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
 
     for side in ("b", "a"):
         pairs = pairs.join(texts.select(F.col("id").alias(side), F.col("packed").alias(f"p{side}")), side)
-    return pairs.select("a", "b", "pa", "pb").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "pa", "pb").mapInArrow(lean(run), "a long, b long")
 
 
 def _tiled(big: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -190,11 +190,12 @@ def _tiled(big: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     dealt = dealt.withColumn("grp", F.xxhash64("key", lo, hi)).withColumn("crossed", lo != hi)
     full = dealt.join(texts, "id").select("grp", "key", "id", "comp", "keys", "own", "crossed", "packed")
     n = int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(run, "a long, b long")
+    return full.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lean(run), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, sketch: int = SKETCH, listed: int = LISTED, long: int = LONG, plain: int = PLAIN) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id, kept (the id is the smallest of its component)."""
+    small_batches(docs.sparkSession)
     threshold = percent / 100
     all_rows = stored(_described(docs, id_col, text, size, sketch), "sketches")
     filled = all_rows.where("id is not null and n > 0")

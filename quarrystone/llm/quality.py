@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import lean, slices, small_batches, with_text
 from ._words import Words
 
 PASSAGE = 64
@@ -114,6 +114,7 @@ def fit(x: np.ndarray, first: np.ndarray, y: np.ndarray, hidden: int = HIDDEN, e
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "quality", max_rows: int = MAX_ROWS) -> dict | None:
     """Fit on at most ``max_rows`` labelled rows of ``docs``, chosen by hash; one task trains, the model comes back."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     known = known.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi").orderBy(F.xxhash64("__id"), "__id", "__y").limit(max_rows)
 
@@ -136,24 +137,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)])], ["m"])
 
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(known), "__id").select(F.xxhash64("__id").alias("__id"), "__y", "__t")
-    found = chosen.mapInArrow(extract, "id long, y int, x array<double>")
-    rows = found.repartition(1).sortWithinPartitions("id").mapInArrow(learn, "m binary").collect()
+    found = chosen.mapInArrow(lean(extract), "id long, y int, x array<double>")
+    rows = found.repartition(1).sortWithinPartitions("id").mapInArrow(lean(learn), "m binary").collect()
     return pickle.loads(rows[0].m) if rows else None
 
 
-def score(docs: DataFrame, model: dict | None, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def score(docs: DataFrame, model: dict | None, text: str = "text", threshold: float = THRESHOLD, keep_text: bool = True) -> DataFrame:
     """Add ``score`` (probability of label 1) and ``predicted`` (1 from ``threshold``); columns of those names are replaced."""
-    docs = docs.drop("score", "predicted")
-    kept = [c for c in docs.columns if c != "__t"]
+    rows, kept, at = with_text(docs, text, ["score", "predicted"], keep_text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         m = sent.value
         for batch in batches:
-            for part in slices(batch, "__t"):
-                x, first = passages(part.column(part.num_columns - 1))
+            for part in slices(batch, at):
+                x, first = passages(part.column(at))
                 p = forward(m, x, first)["p"] if m else np.full(part.num_rows, 0.5)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
-    schema = docs.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    return docs.select(*kept, F.col(text).alias("__t")).mapInArrow(run, schema)
+    schema = rows.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    return rows.mapInArrow(lean(run), schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import lean, slices, with_text
 from ._pieces import Lattice, Pieces, chunk_text, relax_unigram
 
 #: Distinct chunks whose counts a worker remembers.
@@ -70,21 +70,20 @@ class Counter:
         return own[first[1:]] - own[first[:-1]]
 
 
-def count_tokens(docs: DataFrame, model_file: str, text: str = "text", to: str = "n_tokens") -> DataFrame:
+def count_tokens(docs: DataFrame, model_file: str, text: str = "text", to: str = "n_tokens", keep_text: bool = True) -> DataFrame:
     """Add the token count ``to`` to every row of ``docs``; a column of that name is replaced."""
     with open(model_file, "rb") as f:
         data = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(data)
-    docs = docs.withColumn("__t", F.col(text)).drop(to)
-    kept = [c for c in docs.columns if c != "__t"]
+    rows, kept, at = with_text(docs, text, [to], keep_text)
 
     def run(batches):
         model = sent.value
         counter = _workers.setdefault(hash(model), None) or Counter(model)
         _workers[hash(model)] = counter
         for batch in batches:
-            for part in slices(batch, "__t", 2 << 20):
-                n = counter.counts(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(n)], [*kept, to])
+            for part in slices(batch, at):
+                n = counter.counts(part.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(n)], [*kept, to])
 
-    return docs.select(*kept, "__t").mapInArrow(run, docs.select(*kept).withColumn(to, F.lit(0).cast("long")).schema)
+    return rows.mapInArrow(lean(run), rows.select(*kept).withColumn(to, F.lit(0).cast("long")).schema)

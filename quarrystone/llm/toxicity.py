@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import lean, slices, small_batches, with_text
 from ._words import PUNCT, Words, combine, distinct
 
 BITS = 20
@@ -62,6 +62,7 @@ def ftrl(rows: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = 10,
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = MAX_ROWS, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     """Fit on at most ``max_rows`` labelled rows of ``docs``, chosen by hash; one task trains, weights come back."""
+    small_batches(docs.sparkSession)
     known = labels.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
     order = F.xxhash64("__id")
     known = known.join(docs.select(F.col(id_col).alias("__id")), "__id", "left_semi").orderBy(order, "__id", "__y").limit(max_rows)
@@ -82,15 +83,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
         yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(w)], ["place", "w"])
 
     chosen = docs.select(F.col(id_col).alias("__id"), F.col(text).alias("__t")).join(F.broadcast(known), "__id").select("__id", "__y", "__t")
-    found = chosen.withColumn("__id", F.xxhash64("__id")).mapInArrow(extract, "id long, y int, x array<int>")
-    model = found.repartition(1).sortWithinPartitions("id").mapInArrow(fit, "place long, w double").toPandas()
+    found = chosen.withColumn("__id", F.xxhash64("__id")).mapInArrow(lean(extract), "id long, y int, x array<int>")
+    model = found.repartition(1).sortWithinPartitions("id").mapInArrow(lean(fit), "place long, w double").toPandas()
     return model["place"].to_numpy(np.int64), model["w"].to_numpy(np.float64)
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", bits: int = BITS) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text", bits: int = BITS, keep_text: bool = True) -> DataFrame:
     """Add ``score`` (probability of label 1) and ``predicted`` (1 from 0.5) to every row; columns of those names are replaced."""
-    docs = docs.drop("score", "predicted")
-    kept = [c for c in docs.columns if c != "__t"]
+    rows, kept, at = with_text(docs, text, ["score", "predicted"], keep_text)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
@@ -98,11 +98,11 @@ def score(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "te
         dense = np.zeros((1 << bits) + 1)
         dense[places] = w
         for batch in batches:
-            for part in slices(batch, "__t"):
-                x, first = features(part.column(part.num_columns - 1), bits)
+            for part in slices(batch, at):
+                x, first = features(part.column(at), bits)
                 total = np.concatenate([[0.0], np.cumsum(dense[x])])
                 p = 1 / (1 + np.exp(-np.clip(total[first[1:]] - total[first[:-1]] + dense[-1], -35, 35)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(p), pa.array((p >= 0.5).astype(np.int32))], [*kept, "score", "predicted"])
 
-    schema = docs.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
-    return docs.select(*kept, F.col(text).alias("__t")).mapInArrow(run, schema)
+    schema = rows.select(*kept).withColumns({"score": F.lit(0.0), "predicted": F.lit(0)}).schema
+    return rows.mapInArrow(lean(run), schema)
