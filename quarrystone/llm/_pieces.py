@@ -141,7 +141,7 @@ def relax_unigram(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np
 
 
 def relax_bpe(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.ndarray, long: int = 256) -> np.ndarray:
-    """Merges in order of score, the leftmost first on a tie: each round joins, in every chunk, the best edge that two
+    """Merges in order of score, the leftmost first on a tie; edges come in order of position. Each round joins, in every chunk, the best edge that two
     neighbouring symbols fill. Chunks of over ``long`` characters take the same steps from a heap.
 
     Returns, for each node, the end of the symbol that begins there, or -1.
@@ -159,7 +159,8 @@ def relax_bpe(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.nda
     for c in np.unique(of[big]):
         own = big & (of == c)
         _merge_long(nxt, start[own], end[own], score[own])
-    order = np.lexsort((start, -score, of))
+    rank = np.unique(-pieces.score, return_inverse=True)[1][piece[multi]]
+    order = np.argsort(of * (len(pieces.score) + 1) + rank, kind="stable")
     order = order[~big[order]]
     start, end, of = start[order], end[order], of[order]
     while len(start):

@@ -33,8 +33,8 @@ def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, MODEL), MODEL)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    coded = sentencepiece_codec.encode(docs, MODEL, round_trip="round_trip", keep_text=False)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids", "round_trip")
 
 
 def op5_minhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,24 +47,24 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_count.count_tokens(docs, MODEL).select("doc_id", "n_tokens")
+    return token_count.count_tokens(docs, MODEL, keep_text=False)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text", "lang")
-    return language_id.classify(docs.drop("lang"), language_id.train(docs.where("not held_out"))).drop("text")
+    return language_id.classify(docs.drop("lang"), language_id.train(docs.where("not held_out")), keep_text=False)
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "text")
     model = toxicity.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).drop("text")
+    return toxicity.score(docs, model, keep_text=False)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "text")
     model = quality.train(docs.where("not held_out"), table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).drop("text")
+    return quality.score(docs, model, keep_text=False)
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_embedding_near_dup, op3_language_model, op4_sentencepiece, op5_minhash_near_dup, op6_fingerprints, op7_token_counts, op8_language_id, op9_toxicity, op10_quality)}

@@ -22,16 +22,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices
+from ._common import lean, slices, small_batches, with_text
 from ._pieces import BPE, Lattice, Pieces, chunk_text, relax_bpe, relax_unigram
 
 #: Distinct chunks whose ids a worker remembers.
 MEMORY = 300_000
+#: New chunks that are matched at once, and letters that suffixes are sorted by; what longer pieces add is compared after.
+CHUNKS = 50_000
+SORTED = 8
 _workers: dict[int, "Codec"] = {}
 
 
 def suffix_array(letters: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffixes of ``letters`` (16-bit values) in order of their first ``depth`` letters, and the packed letters.
+    """Suffixes of ``letters`` (16-bit values) in order of their first SORTED letters, and the packed letters.
 
     Four letters are packed into each 64-bit word; suffixes that start with 0, the end of a chunk, are left out.
     """
@@ -40,7 +43,7 @@ def suffix_array(letters: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.n
     four = padded[: n + depth] << np.uint64(48) | padded[1 : n + depth + 1] << np.uint64(32) | padded[2 : n + depth + 2] << np.uint64(16) | padded[3 : n + depth + 3]
     words = [four[i : i + n] for i in range(0, depth, 4)]
     starts = np.flatnonzero(letters)
-    return starts[np.lexsort([w[starts] for w in reversed(words)])], words
+    return starts[np.lexsort([w[starts] for w in reversed(words[: SORTED // 4])])], words
 
 
 class Matcher:
@@ -59,6 +62,7 @@ class Matcher:
         for row, i in enumerate(pieces.normal):
             low[row, : pieces.length[i]] = high[row, : pieces.length[i]] = self.letter[[ord(c) for c in pieces.text[i]]]
         self.low, self.high = (self._packed(x) for x in (low, high))
+        self.long = pieces.length[pieces.normal] > SORTED
 
     def _packed(self, x: np.ndarray) -> list[np.ndarray]:
         return [x[:, i] << np.uint64(48) | x[:, i + 1] << np.uint64(32) | x[:, i + 2] << np.uint64(16) | x[:, i + 3] for i in range(0, self.depth, 4)]
@@ -71,7 +75,7 @@ class Matcher:
             mid = (low + high) // 2
             at = order[np.minimum(mid, len(order) - 1)]
             below = np.full(len(low), after)
-            for w, q in zip(reversed(words), reversed(query), strict=True):
+            for w, q in zip(reversed(words[: SORTED // 4]), reversed(query[: SORTED // 4]), strict=True):
                 x = w[at]
                 below = (x < q) | ((x == q) & below)
             low = np.where(open_ & below, mid + 1, low)
@@ -79,7 +83,7 @@ class Matcher:
         return low
 
     def edges(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and piece of every occurrence, in order of position."""
+        """Start and piece of every occurrence, in order of position, then length."""
         order, words = suffix_array(self.letter[points], self.depth)
         if not len(order):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -87,8 +91,14 @@ class Matcher:
         n = b - a
         total = np.concatenate([[0], np.cumsum(n)])
         start = order[np.repeat(a - total[:-1], n) + np.arange(total[-1])]
-        piece = np.repeat(self.pieces.normal, n)
-        by = np.argsort(start, kind="stable")
+        row = np.repeat(np.arange(len(self.pieces.normal)), n)
+        whole = np.ones(len(row), bool)
+        far = np.flatnonzero(self.long[row])
+        for w, low, high in zip(words[SORTED // 4 :], self.low[SORTED // 4 :], self.high[SORTED // 4 :], strict=True):
+            x = w[start[far]]
+            whole[far] &= (x >= low[row[far]]) & (x <= high[row[far]])
+        start, piece = start[whole], self.pieces.normal[row[whole]]
+        by = np.argsort(start * (self.depth + 1) + self.pieces.length[piece], kind="stable")
         return start[by], piece[by]
 
 
@@ -124,15 +134,12 @@ class Codec:
                 live = live[at[live] > lattice.first[live]]
             end = np.flatnonzero(on)
             begin = back[end]
-        code = start * 64 + p.length[piece] if p.length[p.normal].max() < 64 else start * (1 << 20) + p.length[piece]
-        width = 64 if p.length[p.normal].max() < 64 else 1 << 20
-        order = np.argsort(code, kind="stable")
-        want = begin * width + (end - begin)
-        at = np.minimum(np.searchsorted(code[order], want), max(len(code) - 1, 0))
+        width = self.matcher.depth + 1
+        code, want = start * width + p.length[piece], begin * width + (end - begin)
         ids = np.full(len(begin), -1, np.int64)
         if len(code):
-            hit = code[order][at] == want
-            ids[hit] = piece[order][at[hit]]
+            at = np.minimum(np.searchsorted(code, want), len(code) - 1)
+            ids = np.where(code[at] == want, piece[at], -1)
         n = np.ones(len(ids), np.int64)
         odd = np.flatnonzero(ids < 0)
         extra = [p.fallback(chr(lattice.points[begin[i]])) for i in odd]
@@ -151,9 +158,10 @@ class Codec:
         if len(self.place) + len(new) > MEMORY:
             self.forget()
             new = list(set(flat))
-        if new:
-            ids, first = self.chunk_ids(new)
-            self.place.update(zip(new, range(len(self.place), len(self.place) + len(new)), strict=True))
+        for at in range(0, len(new), CHUNKS):
+            keys = new[at : at + CHUNKS]
+            ids, first = self.chunk_ids(keys)
+            self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
             self.first = np.concatenate([self.first, first[1:] + len(self.pool)])
             self.pool = np.concatenate([self.pool, ids])
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
@@ -176,25 +184,34 @@ def _sent(df: DataFrame, model_file: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids") -> DataFrame:
-    """Add the piece ids ``to`` (array of int) to every row of ``docs``; a column of that name is replaced."""
+def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids", round_trip: str | None = None, keep_text: bool = True) -> DataFrame:
+    """Add the piece ids ``to`` (array of int) to every row of ``docs``; a column of that name is replaced.
+
+    ``round_trip`` names a column that tells whether decoding the ids gave the text back; it is decoded from the ids alone.
+    """
     sent = _sent(docs, model_file)
-    docs = docs.withColumn("__t", F.col(text)).drop(to)
-    kept = [c for c in docs.columns if c != "__t"]
+    added = [to] + ([round_trip] if round_trip else [])
+    rows, kept, at = with_text(docs, text, added, keep_text)
 
     def run(batches):
         codec = _codec(sent.value)
         for batch in batches:
-            for part in slices(batch, "__t"):
-                ids, first = codec.encode(part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], [*kept, to])
+            for part in slices(batch, at):
+                texts = part.column(at).to_pylist()
+                ids, first = codec.encode(texts)
+                out = [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))]
+                if round_trip:
+                    out.append(pa.array([codec.pieces.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(first[:-1], first[1:], texts, strict=True)], pa.bool_()))
+                yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
-    return docs.select(*kept, "__t").mapInArrow(run, docs.select(*kept).withColumn(to, F.lit(None).cast("array<int>")).schema)
+    schema = rows.select(*kept).withColumn(to, F.lit(None).cast("array<int>"))
+    return rows.mapInArrow(lean(run), (schema.withColumn(round_trip, F.lit(True)) if round_trip else schema).schema)
 
 
 def decode(docs: DataFrame, model_file: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """Add the text ``to`` of the piece ids to every row of ``docs``; a column of that name is replaced."""
     sent = _sent(docs, model_file)
+    small_batches(docs.sparkSession)
     docs = docs.withColumn("__ids", F.col(ids).cast("array<int>")).drop(to)
     kept = [c for c in docs.columns if c != "__ids"]
 
@@ -206,4 +223,4 @@ def decode(docs: DataFrame, model_file: str, ids: str = "ids", to: str = "decode
                 texts = [None if x is None else pieces.decode(x) for x in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(texts, pa.string())], [*kept, to])
 
-    return docs.select(*kept, "__ids").mapInArrow(run, docs.select(*kept).withColumn(to, F.lit("")).schema)
+    return docs.select(*kept, "__ids").mapInArrow(lean(run), docs.select(*kept).withColumn(to, F.lit(None).cast("string")).schema)
