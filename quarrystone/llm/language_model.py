@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import shared_path, slices
+from ._common import lean, shared_path, slices, small_batches, stored
 from ._store import SortedHashes, mapped, merge, pack, shard_of, unpack, write
 from ._words import Words, mix
 
 END = np.uint64(0x656E64)
 #: Bytes of training text for each shard of the model.
 SHARD_BYTES = 16 << 20
+#: Shards are 2**MAX_BITS at most, so that what the driver gets of them is bounded; beyond that they grow.
+MAX_BITS = 18
 #: Distinct entries that a map task holds before it sends them.
 HOLD = 2_000_000
 
@@ -86,8 +88,8 @@ class Model:
         return out
 
 
-def _gather(rows: DataFrame, n: int, reduce, schema: str) -> list:
-    """Bring the blocks of each shard together and reduce them, one shard after the other in each task."""
+def _reduced(rows: DataFrame, n: int, reduce, schema: str) -> DataFrame:
+    """Bring the blocks of each shard together, a task for each shard, and reduce them."""
 
     def run(batches):
         at, blocks = None, []
@@ -101,7 +103,7 @@ def _gather(rows: DataFrame, n: int, reduce, schema: str) -> list:
         if blocks:
             yield reduce(at, blocks)
 
-    return rows.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(run, schema).collect()
+    return rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(run), schema)
 
 
 def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -127,7 +129,7 @@ def _counted(rows: DataFrame, keys_of, bits: int) -> DataFrame:
         if held:
             yield _blocks(*merge([k for k, _ in held], [c.astype(np.uint32) for _, c in held]), bits)
 
-    return rows.mapInArrow(run, "shard int, block binary")
+    return rows.mapInArrow(lean(run), "shard int, block binary")
 
 
 def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -140,10 +142,11 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
 def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
     """Count every text of ``docs`` and write the model's files; only sizes and sums reach the driver."""
     spark = docs.sparkSession
+    small_batches(spark)
     folder = shared_path(spark, "lm")
     rows = docs.select(F.coalesce(F.col(text), F.lit("")).alias("__t"))
     seen = rows.agg(F.sum(F.octet_length("__t")).alias("b"), F.count("*").alias("n")).first()
-    n_docs, bits = seen.n, max(0, ((seen.b or 0) // shard_bytes).bit_length())
+    n_docs, bits = seen.n, min(MAX_BITS, ((seen.b or 0) // shard_bytes).bit_length())
     n = 1 << bits
 
     def words_done(k, blocks):
@@ -151,7 +154,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
         write(folder, f"word-{k}", keys, counts)
         return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(keys)]), pa.array([int(counts.astype(np.int64).sum())])], ["k", "n", "total"])
 
-    done = _gather(_counted(rows, lambda col: tokens(col)[0], bits), n, words_done, "k long, n long, total long")
+    done = _reduced(_counted(rows, lambda col: tokens(col)[0], bits), n, words_done, "k long, n long, total long").collect()
     sizes = np.zeros(n, np.int64)
     for r in done:
         sizes[r.k] = r.n
@@ -194,27 +197,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
             ["shard", "block", "k", "n", "of_counts"],
         )
 
-    reduced = shared_path(spark, "lm-context")
-
-    def gathered():
-        pairs = _counted(rows, pair_keys, bits).repartition(n, "shard").sortWithinPartitions("shard")
-
-        def run(batches):
-            at, blocks = None, []
-            for batch in batches:
-                for k, block in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    if k != at and blocks:
-                        yield pairs_done(at, blocks)
-                        blocks = []
-                    at = k
-                    blocks.append(block.as_buffer().to_pybytes())
-            if blocks:
-                yield pairs_done(at, blocks)
-
-        return pairs.mapInArrow(run, "shard int, block binary, k long, n long, of_counts array<long>")
-
-    gathered().write.parquet(reduced)
-    context = spark.read.schema("shard int, block binary, k long, n long, of_counts array<long>").parquet(reduced)
+    context = stored(_reduced(_counted(rows, pair_keys, bits), n, pairs_done, "shard int, block binary, k long, n long, of_counts array<long>"), "lm-context")
     pair_sizes, of_counts = np.zeros(n, np.int64), np.zeros(4, np.int64)
     for r in context.where("shard = -1").select("k", "n", "of_counts").collect():
         pair_sizes[r.k] = r.n
@@ -234,7 +217,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
         kinds = [int((dense[3] == i).sum()) for i in (1, 2, 3, 4)] + [int((dense[3] > 2).sum())]
         return pa.RecordBatch.from_arrays([pa.array([kinds], pa.list_(pa.int64()))], ["kinds"])
 
-    kinds = np.sum([r.kinds for r in _gather(context.where("shard >= 0").select("shard", "block"), ranges, context_done, "kinds array<long>")], axis=0)
+    kinds = np.sum([r.kinds for r in _reduced(context.where("shard >= 0").select("shard", "block"), ranges, context_done, "kinds array<long>").collect()], axis=0)
     model.lower = _discounts(*map(int, kinds[:4]))
     d = model.lower
     model.lower_rest = float((d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[4]) / pair_sizes.sum())
@@ -243,6 +226,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score (log10) to every row of ``docs``; the text column goes."""
+    small_batches(docs.sparkSession)
     added = "n_tokens long, n_known long, train_tokens long, base_score double, score double"
     names = [x.split()[0] for x in added.split(", ")]
     docs = docs.withColumn("__t", F.col(text)).drop(text, *names)
@@ -287,4 +271,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, columns)], [*kept, *names])
 
     kinds = {x.split()[0]: F.lit(0).cast(x.split()[1]) for x in added.split(", ")}
-    return docs.select(*kept, "__t").mapInArrow(run, docs.select(*kept).withColumns(kinds).schema)
+    return docs.select(*kept, "__t").mapInArrow(lean(run), docs.select(*kept).withColumns(kinds).schema)
