@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import slices, utf8
+from ._common import lean, slices, small_batches, utf8
 from ._words import mix
 
 P = (1 << 31) - 1
@@ -138,6 +138,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
     ``ranges`` (the session's shuffle partitions unless given) bounds what reaches the driver: two ids for each range.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__t"))
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(LOWEST)))
@@ -156,7 +157,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
             for x in np.unique(b):
                 yield pa.RecordBatch.from_arrays([pa.array([int(x)]), pa.array([int(k[b == x].max())])], ["bucket", "top"])
 
-    top = {r.bucket: r.top for r in keyed.select("key").mapInArrow(tops, "bucket long, top long").groupBy("bucket").agg(F.max("top").alias("top")).collect()}
+    top = {r.bucket: r.top for r in keyed.select("key").mapInArrow(lean(tops), "bucket long, top long").groupBy("bucket").agg(F.max("top").alias("top")).collect()}
     filled = sorted(top)
     before = {b: filled[i - 1] for i, b in enumerate(filled)}
     heads = np.sort(np.array(list(top.values()), np.int64))
@@ -206,7 +207,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ra
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [id_col, *NAMES])
 
-    dealt = keyed.select("id", "__t", "key").mapInArrow(deal, "bucket long, tail boolean, id long, key long, packed binary")
-    placed = dealt.repartition(ranges, "bucket").sortWithinPartitions("bucket", "tail", F.col("key").desc(), F.col("id").desc_nulls_last(), "packed")
+    dealt = keyed.select("id", "__t", "key").mapInArrow(lean(deal), "bucket long, tail boolean, id long, key long, packed binary")
+    placed = dealt.repartitionById(ranges, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "tail", F.col("key").desc(), F.col("id").desc_nulls_last(), "packed")
     schema = f"`{id_col}` long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_next long"
-    return placed.mapInArrow(run, schema)
+    return placed.mapInArrow(lean(run), schema)
