@@ -46,7 +46,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document that is left."""
-    coded = sentencepiece_codec.encode(docs, queries.MODEL)
+    coded = sentencepiece_codec.encode(docs, queries.MODEL, keep_text=False)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
 
 
