@@ -106,3 +106,36 @@ def test_sheet_questions(spark):
     df = spark.createDataFrame([(" A ", "1.5"), ("A", "2"), ("B", "x"), ("B", "3"), ("", "9"), (None, "9")], "category string, v string")
     assert [tuple(r) for r in sheets.top_groups(df, "category", "v", 1).collect()] == [("A", 3.5)]
     assert tuple(sheets.total_where(df, "v", "category", "B").first()) == (3.0, 2)
+
+
+def test_registry(spark):
+    from quarrystone.plans import registry
+
+    spark.createDataFrame([(1, 2.0), (2, 3.0)], "k int, v double").createOrReplaceTempView("facts")
+    r = registry.Registry(spark)
+    total = registry.Verified("Total of all values?", "SELECT SUM(v) AS total FROM facts")
+    assert r.register(total, {"facts"}) == total and r.register(registry.Verified("x", "DROP TABLE facts"), {"facts"}).reason == "statement_not_allowed"
+    r.scored.add(registry.content_hash("scored", "SELECT 1 AS a"))
+    assert r.register(registry.Verified("Scored!", "select  1 as A"), set()).reason == "scored_row"
+    r.register(registry.Verified("Rows by key", "SELECT k, COUNT(*) AS n FROM facts GROUP BY k", "s1"), {"facts"})
+    assert r.ask("total of all VALUES", "s1", {"facts"}).first().total == 5.0
+    assert r.ask("rows by key", "s2", {"facts"}).reason == "no_verified_query" and r.ask("total of all values", "s1", set()).reason == "table_not_granted"
+    assert [v.question for v in r.examples("rows per key", "s1")] == ["Rows by key"] and r.examples("rows", "s2") == []
+    rows = spark.createDataFrame([("a", "SELECT 1"), ("b", "SELECT 2")], "question string, sql string")
+    assert [x.question for x in registry.without_scored(rows, rows.where("question = 'a'")).collect()] == ["b"]
+    assert registry.scrub("no column secret.pay in Facts", ["secret", "pay", "facts"], ["facts"]) == "no column [hidden].[hidden] in Facts"
+    token = registry.mint({"tenant": "t"}, b"k")
+    assert registry.opened(token, b"k") == {"tenant": "t"} and registry.opened(token, b"z").reason == "bad_signature"
+    assert registry.within(spark, 60, lambda: spark.range(5).count()) == 5
+
+
+def test_derived_ontology(spark):
+    from quarrystone.plans import registry
+
+    frames = {"p": spark.createDataFrame([(1,)], "id int"), "c": spark.createDataFrame([(1, 1)], "id int, pid int")}
+    manifest = {"tables": [{"name": "p", "primary_key": ["id"]}, {"name": "c", "primary_key": ["id"]}], "foreign_keys": [{"name": "f", "child": "c", "child_column": "pid", "parent": "p", "parent_column": "id"}]}
+    _, violations, item = registry.derive(spark, manifest, lambda t: frames[t["name"]])
+    assert violations == [] and item["status"] == "active" and item["links"] == {"f": ["many_to_one", 1]}
+    assert registry.derive(spark, manifest, lambda t: frames[t["name"]], item)[2]["status"] == "reused"
+    frames["c"] = spark.createDataFrame([(1, 9, 0)], "id int, pid int, more int")
+    assert registry.derive(spark, manifest, lambda t: frames[t["name"]], item)[2]["status"] == "proposed"
