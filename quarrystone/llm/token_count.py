@@ -19,12 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, slices, with_text
+from ._common import cache_of, lean, slices, with_text
 from ._pieces import Lattice, Pieces, chunk_text, relax_unigram
 
-#: Distinct chunks whose counts a worker remembers.
+#: Distinct chunks whose counts a worker remembers in each of two generations; what is used again moves to the younger one.
 MEMORY = 400_000
-_workers: dict[int, "Counter"] = {}
 
 
 class Counter:
@@ -35,6 +34,7 @@ class Counter:
             self.automaton.add_word(self.pieces.text[i], int(i))
         self.automaton.make_automaton()
         self.known: dict[str, int] = {}
+        self.old: dict[str, int] = {}
 
     def chunk_counts(self, keys: list[str]) -> np.ndarray:
         lattice = Lattice([chunk_text(k) for k in keys])
@@ -62,9 +62,11 @@ class Counter:
         new = list(set(flat) - self.known.keys())
         if new:
             if len(self.known) + len(new) > MEMORY:
-                self.known = {}
+                self.old, self.known = self.known, {}
                 new = list(set(flat))
-            self.known.update(zip(new, self.chunk_counts(new).tolist(), strict=True))
+            self.known.update((k, self.old[k]) for k in new if k in self.old)
+            if new := [k for k in new if k not in self.old]:
+                self.known.update(zip(new, self.chunk_counts(new).tolist(), strict=True))
         own = np.concatenate([[0], np.cumsum(np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat)))])
         first = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return own[first[1:]] - own[first[:-1]]
@@ -79,8 +81,10 @@ def count_tokens(docs: DataFrame, model_file: str, text: str = "text", to: str =
 
     def run(batches):
         model = sent.value
-        counter = _workers.setdefault(hash(model), None) or Counter(model)
-        _workers[hash(model)] = counter
+        cache, key = cache_of(__name__), hash(model)
+        if key not in cache:
+            cache[key] = Counter(model)
+        counter = cache[key]
         for batch in batches:
             for part in slices(batch, at):
                 n = counter.counts(part.column(at).to_pylist())
