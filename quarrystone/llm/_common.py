@@ -54,11 +54,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What a worker keeps between tasks, by operator module.
+_caches: dict[str, dict] = {}
+
+
+def cache_of(module: str) -> dict:
+    return _caches.setdefault(module, {})
+
+
+def forget_others(module: str) -> None:
+    for other in set(_caches) - {module}:
+        del _caches[other]
+
+
 def lean(run):
-    """A worker function that gives freed memory back when its task ends; workers are kept and stages follow each other."""
+    """A worker function that drops what other operators kept, and gives freed memory back when its task ends: Spark keeps
+    workers while stages follow each other."""
 
     @functools.wraps(run)
     def task(batches):
+        forget_others(run.__module__)
         try:
             yield from run(batches)
         finally:
@@ -69,7 +84,7 @@ def lean(run):
     return task
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
     """Texts are long: bound the rows of an Arrow batch, so that a worker and its executor hold a few MB of text at a time."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= rows:

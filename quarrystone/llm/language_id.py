@@ -15,20 +15,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, slices, small_batches, with_text
+from ._common import cache_of, lean, slices, small_batches, with_text
 
 DIM = 1024
 #: Letter classes: 0 is the edge of a word, 1-26 the ASCII letters, 27-63 all other letters by code point.
 CLASSES = 64
-_cache: dict[str, np.ndarray] = {}
 
 
 def letter_classes() -> np.ndarray:
-    if "classes" not in _cache:
+    cache = cache_of(__name__)
+    if "classes" not in cache:
         out = np.fromiter((27 + (i * 2654435761 >> 7) % 37 if chr(i).isalpha() else 0 for i in range(0x110000)), np.uint8, 0x110000)
         out[97:123] = out[65:91] = np.arange(1, 27)
-        _cache["classes"] = out
-    return _cache["classes"]
+        cache["classes"] = out
+    return cache["classes"]
 
 
 def letter_vectors(dim: int = DIM) -> np.ndarray:
@@ -78,7 +78,10 @@ class Profiles:
 
 
 def _profiles(dim: int) -> Profiles:
-    return _cache.setdefault(f"profiles{dim}", Profiles(dim))
+    cache = cache_of(__name__)
+    if dim not in cache:
+        cache[dim] = Profiles(dim)
+    return cache[dim]
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DIM) -> dict[str, np.ndarray]:

@@ -22,15 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import lean, slices, small_batches, with_text
+from ._common import cache_of, lean, slices, small_batches, with_text
 from ._pieces import BPE, Lattice, Pieces, chunk_text, relax_bpe, relax_unigram
 
-#: Distinct chunks whose ids a worker remembers.
+#: Distinct chunks whose ids a worker remembers in each of two generations; what is used again moves to the younger one.
 MEMORY = 300_000
 #: New chunks that are matched at once, and letters that suffixes are sorted by; what longer pieces add is compared after.
-CHUNKS = 50_000
+CHUNKS = 16_000
 SORTED = 8
-_workers: dict[int, "Codec"] = {}
 
 
 def suffix_array(letters: np.ndarray, depth: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -54,7 +53,7 @@ class Matcher:
         alphabet = sorted(set("".join(pieces.text[i] for i in pieces.normal)))
         if len(alphabet) >= 1 << 16:
             raise ValueError("more than 65535 different characters in pieces")
-        self.letter = np.zeros(0x110000, np.uint64)
+        self.letter = np.zeros(0x110000, np.uint16)
         self.letter[[ord(c) for c in alphabet]] = np.arange(1, len(alphabet) + 1)
         self.depth = -(-int(pieces.length[pieces.normal].max()) // 4) * 4
         low = np.zeros((len(pieces.normal), self.depth), np.uint64)
@@ -102,17 +101,32 @@ class Matcher:
         return start[by], piece[by]
 
 
+def gathered(pool: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[first[i]:first[i + 1]] for i in ``at``, one after the other, and their offsets."""
+    n = first[at + 1] - first[at]
+    total = np.concatenate([[0], np.cumsum(n)])
+    return pool[np.repeat(first[at] - total[:-1], n) + np.arange(total[-1])], total
+
+
 class Codec:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         self.matcher = Matcher(self.pieces)
         self.forget()
+        self.forget()
 
     def forget(self) -> None:
+        """Make the younger generation the older one."""
+        self.old = (self.place, self.pool, self.first) if hasattr(self, "place") else ({}, np.zeros(0, np.int32), np.zeros(1, np.int64))
         self.place: dict[str, int] = {}
         self.pool = np.zeros(0, np.int32)
         self.first = np.zeros(1, np.int64)
 
+    def remember(self, keys: list[str], ids: np.ndarray, first: np.ndarray) -> None:
+        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
+        self.first = np.concatenate([self.first, first[1:] + len(self.pool)])
+        self.pool = np.concatenate([self.pool, ids])
+
     def chunk_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and their offsets."""
         p = self.pieces
@@ -158,25 +172,25 @@ class Codec:
         if len(self.place) + len(new) > MEMORY:
             self.forget()
             new = list(set(flat))
+        place, pool, starts = self.old
+        if moved := [k for k in new if k in place]:
+            at = np.fromiter(map(place.__getitem__, moved), np.int64, len(moved))
+            self.remember(moved, *gathered(pool, starts, at))
+            new = [k for k in new if k not in place]
         for at in range(0, len(new), CHUNKS):
             keys = new[at : at + CHUNKS]
-            ids, first = self.chunk_ids(keys)
-            self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
-            self.first = np.concatenate([self.first, first[1:] + len(self.pool)])
-            self.pool = np.concatenate([self.pool, ids])
+            self.remember(keys, *self.chunk_ids(keys))
         at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
-        n = self.first[at + 1] - self.first[at]
-        total = np.concatenate([[0], np.cumsum(n)])
-        out = self.pool[np.repeat(self.first[at] - total[:-1], n) + np.arange(total[-1])]
+        out, total = gathered(self.pool, self.first, at)
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return out, total[bounds]
 
 
 def _codec(model: bytes) -> Codec:
-    key = hash(model)
-    if key not in _workers:
-        _workers[key] = Codec(model)
-    return _workers[key]
+    cache, key = cache_of(__name__), hash(model)
+    if key not in cache:
+        cache[key] = Codec(model)
+    return cache[key]
 
 
 def _sent(df: DataFrame, model_file: str):
