@@ -241,6 +241,21 @@ def test_unigram_paths_and_counts_equal_the_library():
         assert ids[first[i] : first[i + 1]].tolist() == want and counts[i] == len(want), t[:50]
 
 
+@needs_model
+def test_forgetting_chunks_changes_nothing(monkeypatch):
+    data = open(MODEL, "rb").read()
+    texts = odd_texts(60) * 2
+    want, first = sentencepiece_codec.Codec(data).encode(texts)
+    counts = token_count.Counter(data).counts(texts)
+    monkeypatch.setattr(sentencepiece_codec, "MEMORY", 40)
+    monkeypatch.setattr(sentencepiece_codec, "CHUNKS", 7)
+    monkeypatch.setattr(token_count, "MEMORY", 40)
+    codec, counter = sentencepiece_codec.Codec(data), token_count.Counter(data)
+    for i, t in enumerate(texts):
+        assert codec.encode([t])[0].tolist() == want[first[i] : first[i + 1]].tolist()
+        assert counter.counts([t])[0] == counts[i]
+
+
 @needs_model
 def test_suffix_array_finds_all_occurrences():
     codec = sentencepiece_codec.Codec(open(MODEL, "rb").read())
