@@ -15,7 +15,7 @@ The model file is read on the driver and its bytes are broadcast; nothing is tra
 
 from __future__ import annotations
 
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +28,7 @@ from ._pieces import BPE, Lattice, Pieces, chunk_text, relax_bpe, relax_unigram
 #: Distinct chunks whose ids a worker remembers in each of two generations; what is used again moves to the younger one.
 MEMORY = 300_000
 #: New chunks that are matched at once, and letters that suffixes are sorted by; what longer pieces add is compared after.
-CHUNKS = 16_000
+CHUNKS = 32_000
 SORTED = 8
 
 
@@ -101,6 +101,12 @@ class Matcher:
         return start[by], piece[by]
 
 
+def found(table: dict[str, int], keys: list[str]) -> tuple[np.ndarray, list[int]]:
+    """The value of each key, -1 where there is none, and the places of those."""
+    out = np.fromiter(map(table.get, keys, repeat(-1)), np.int64, len(keys))
+    return out, np.flatnonzero(out < 0).tolist()
+
+
 def gathered(pool: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs pool[first[i]:first[i + 1]] for i in ``at``, one after the other, and their offsets."""
     n = first[at + 1] - first[at]
@@ -168,19 +174,19 @@ class Codec:
         """Ids of all texts, one after the other, and their offsets."""
         parts = [self.pieces.chunks(t or "") for t in texts]
         flat = list(chain.from_iterable(parts))
-        new = list(set(flat) - self.place.keys())
+        at, lost = found(self.place, flat)
+        new = list({flat[i] for i in lost})
         if len(self.place) + len(new) > MEMORY:
             self.forget()
-            new = list(set(flat))
+            lost, new = range(len(flat)), list(set(flat))
         place, pool, starts = self.old
         if moved := [k for k in new if k in place]:
-            at = np.fromiter(map(place.__getitem__, moved), np.int64, len(moved))
-            self.remember(moved, *gathered(pool, starts, at))
+            self.remember(moved, *gathered(pool, starts, found(place, moved)[0]))
             new = [k for k in new if k not in place]
-        for at in range(0, len(new), CHUNKS):
-            keys = new[at : at + CHUNKS]
+        for i in range(0, len(new), CHUNKS):
+            keys = new[i : i + CHUNKS]
             self.remember(keys, *self.chunk_ids(keys))
-        at = np.fromiter(map(self.place.__getitem__, flat), np.int64, len(flat))
+        at[lost] = found(self.place, [flat[i] for i in lost])[0]
         out, total = gathered(self.pool, self.first, at)
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return out, total[bounds]
