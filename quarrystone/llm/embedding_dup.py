@@ -17,6 +17,8 @@ is a row of its own. An empty table gives an empty result. A sample with fewer v
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,10 +30,10 @@ TABLES = 6
 SUBSTRING = 16
 TILE = 256
 #: Vectors in the training sample, at most; those with the smallest hash of the id.
-SAMPLE = 8192
+SAMPLE = 4096
 
 
-def fit(vectors: np.ndarray, tables: int = TABLES, iterations: int = 30, seed: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
+def fit(vectors: np.ndarray, tables: int = TABLES, iterations: int = 15, seed: int = 2) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mean and one rotation per table; each starts from its own random orthogonal matrix."""
     rng = np.random.default_rng(seed)
     mean = vectors.mean(0) if len(vectors) else np.zeros(vectors.shape[1])
@@ -87,8 +89,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     edges, counts = None, None
     for dim in sorted(dims):
         part = usable.where(F.col("dim") == dim)
-        chosen = part.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample).select("v").toPandas()["v"]
-        model = fit(_unit(np.stack(chosen.to_numpy()).astype(np.float64)), tables)
+        model = _trained(part.select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample), tables)
         found = stored(_links(part, model, threshold, bits, tile), "vector-links")
         own, star = found.where("n > 0").select("id", "n"), found.where("root is not null").select(F.col("root").alias("src"), F.col("id").alias("dst"))
         counts, edges = (own, star) if counts is None else (counts.union(own), edges.union(star))
@@ -102,6 +103,17 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector: str = "e
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), comp.alias("component_id"), comp.eqNullSafe(F.col("id")).alias("kept"))
 
 
+def _trained(chosen: DataFrame, tables: int):
+    """The model of a bounded sample, fitted in one task, where linear algebra keeps to the task's cores."""
+
+    def learn(batches):
+        ids, xs = zip(*((b.column(0).to_numpy(), _matrix(b.column(1))) for b in batches if b.num_rows), strict=True)
+        order = np.argsort(np.concatenate(ids), kind="stable")
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(_unit(np.concatenate(xs)[order]), tables))])], ["m"])
+
+    return pickle.loads(chosen.repartition(1).mapInArrow(lean(learn), "m binary").collect()[0].m)
+
+
 def _links(part: DataFrame, model, threshold: float, bits: int, tile: int) -> DataFrame:
     """Rows (id, n, root): link counts of a task, and the local root of each linked vector."""
 
