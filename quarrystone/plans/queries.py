@@ -327,6 +327,11 @@ def scalar_folding(spark, d):
     return table(spark, d, "documents").select("doc_id", scalar.folded(F.substring("text", 1, 60)).alias("folded"))
 
 
+@query("SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM documents")
+def scalar_folding_texts(spark, d):
+    return table(spark, d, "documents").select("doc_id", scalar.folded(F.col("text")).alias("folded"))
+
+
 # -- incremental ---------------------------------------------------------------------------------------------------
 @query("SELECT event_type, COUNT(*) AS n, MIN(event_id) AS first_id, MAX(event_id) AS last_id FROM events GROUP BY 1")
 def incremental_drain(spark, d):
