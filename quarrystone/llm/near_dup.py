@@ -3,9 +3,8 @@
 1. Each document becomes its set of hashed word shingles; the SKETCH smallest hashes are its bottom-k sketch.
    Documents with equal sets (same size and 128-bit sum hash) form a class; its smallest id represents it.
 2. Inverted lists hold the representatives under their LISTED smallest retained values. A value whose list is longer than LONG is
-   left to the other values of a document that retains at least PLAIN of those; a document with fewer, such as one of
-   a large group of near copies or one made of a common passage, is listed under the value with the next two
-   retained ones instead. So no list holds more than documents that agree on a run of values.
+   hot: every document that retains it is listed under the value with the next two retained ones instead, however many
+   other values it has, as those may all be its own text. So no list holds more than documents that agree on a run of values.
 3. Round one compares every member of a list with the list's smallest document. Round two compares all members of
    different components (pairs inside one cannot change the result). Where at most LONG members are outside the
    list's most common component, pairs of those with the others are made. A list with more is dealt over tiles of TILE
@@ -35,11 +34,10 @@ from ._words import Words, distinct, list_array, mix, shingles
 
 SKETCH = 64
 LONG = 64
-PLAIN = 12
 LISTED = 32
 BITMAP = 26
 TILE = 1024
-#: Slots of consecutive values that a document with few plain ones is listed under.
+#: Slots of consecutive values, from a hot one on, that a document is listed under.
 RUN = 3
 
 
@@ -61,7 +59,7 @@ def _described(docs: DataFrame, id_col: str, text: str, size: int, sketch: int)
     return rows.mapInArrow(lean(run), "id long, n long, h1 long, h2 long, sketch array<long>")
 
 
-def _lists(reps: DataFrame, listed: int, long: int, plain: int) -> DataFrame:
+def _lists(reps: DataFrame, listed: int, long: int) -> DataFrame:
     """Entries (key, id, n, leader, nl) of the inverted lists that hold at least two documents; nl: the leader's size."""
     entries = reps.select("id", "n", F.posexplode(F.slice("sketch", 1, listed)).alias("i", "v"))
     hot = stored(entries.groupBy("v").count().where(F.col("count") > long).select("v", F.lit(True).alias("hot")), "hot")
@@ -72,7 +70,7 @@ def _lists(reps: DataFrame, listed: int, long: int, plain: int) -> DataFrame:
         f"transform(filter(sequence(0, size(e) - 1), j -> e[j].hot), "
         f"j -> xxhash64(e[j].v, slice(e.v, j + 2, {RUN - 1})))"
     )
-    keys = F.when(F.size(own) >= plain, F.transform(own, lambda x: x.v)).otherwise(F.concat(F.transform(own, lambda x: x.v), runs))
+    keys = F.concat(F.transform(own, lambda x: x.v), runs)
     rows = stored(per_doc.select("id", "n", F.explode(F.array_distinct(keys)).alias("key")), "entries")
     shared = rows.groupBy("key").agg(F.count("*").alias("m"), F.min(F.struct("id", "n")).alias("l")).where("m > 1")
     return rows.join(shared, "key").select("key", "id", "n", F.col("l.id").alias("leader"), F.col("l.n").alias("nl"))
@@ -193,7 +191,7 @@ def _tiled(big: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFra
     return full.repartition(n, "grp").sortWithinPartitions("grp").mapInArrow(lean(run), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, sketch: int = SKETCH, listed: int = LISTED, long: int = LONG, plain: int = PLAIN) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, sketch: int = SKETCH, listed: int = LISTED, long: int = LONG) -> DataFrame:
     """One row per row of ``docs``: id_col, n_shingles, component_id, kept (the id is the smallest of its component)."""
     small_batches(docs.sparkSession)
     threshold = percent / 100
@@ -208,7 +206,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         near = stored(_passing(pairs, reps.select("id", "sketch"), threshold, sketch), "near")
         return stored(_verified(near, _texts(docs, id_col, text, near), size, percent), "links")
 
-    lists = stored(_lists(reps, listed, long, plain), "lists")
+    lists = stored(_lists(reps, listed, long), "lists")
     sized = F.least("n", "nl") >= F.greatest("n", "nl") * threshold
     one = stored(lists.where(F.col("id") != F.col("leader")).where(sized).select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = linked(one)
