@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from quarrystone.llm import language_id, mixing, near_dup, queries, sentencepiece_codec, toxicity
 from quarrystone.llm._common import crc_mod, stored, table
 
-#: A document goes if no language is found or its profile is less like any language than this cosine.
-MIN_LIKENESS = 0.02
+#: A document goes if no language is found or its profile is less like any language than all but this share of the training documents.
+LOW_SHARE = 0.01
+#: The least cosine asked for, whatever the training documents: four deviations of unrelated bundles.
+MIN_LIKENESS = 4 / language_id.DIM**0.5
 
 #: SQL cannot express the stages; tests hold them against brute force.
 ORACLE_SQL = None
@@ -21,9 +23,12 @@ ORACLE_SQL = None
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents in no known language; profiles are learned from the training rows with a language."""
-    prototypes = language_id.train(docs.where(crc_mod("doc_id", 4) != 2))
+    training = docs.where(crc_mod("doc_id", 4) != 2)
+    prototypes = language_id.train(training)
+    scored = language_id.classify(training.where("lang is not null").select("text"), prototypes, keep_text=False)
+    low = scored.where("lang_pred != 'und'").agg(F.percentile_approx("score", LOW_SHARE, 10000).alias("q")).first().q
     known = language_id.classify(docs, prototypes)
-    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_LIKENESS)).select(*docs.columns)
+    return known.where((F.col("lang_pred") != "und") & (F.col("score") >= max(MIN_LIKENESS, low or 0.0))).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
