@@ -50,9 +50,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document that is left."""
-    coded = sentencepiece_codec.encode(docs, queries.MODEL, keep_text=False)
-    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids")
+    """Piece ids of every document that is left, with its place in the mix: files reread have no order of their own."""
+    coded = sentencepiece_codec.encode(mixing.mix(docs, queries.WEIGHTS), queries.MODEL, keep_text=False)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_pieces"), "ids", "mix_position")
 
 
 STAGES = [
@@ -65,8 +65,8 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's result written to the shared folder and reread."""
+    """All stages over documents, each one's result written to the shared folder and reread; rows in the order of the mix."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stored(stage(spark, docs, sf_dir), name)
-    return docs
+    return docs.orderBy("mix_position")
