@@ -434,6 +434,19 @@ def retrieval_cosine(spark, d):
     return e.crossJoin(F.broadcast(one)).select("vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("asked")), 9).alias("cosine"))
 
 
+@query()
+def retrieval_bm25_documents(spark, d):
+    out = retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return out.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+@query()
+def retrieval_cosine_queries(spark, d):
+    e = table(spark, d, "embeddings")
+    asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    return e.crossJoin(asked).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("asked")), 9).alias("cosine"))
+
+
 @query()
 def retrieval_chunks(spark, d):
     return table(spark, d, "documents").select("doc_id", F.posexplode(retrieval.chunks(F.col("text"))).alias("chunk_index", "chunk"))

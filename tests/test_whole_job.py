@@ -1,5 +1,11 @@
 """Engine queries that read whole columns, against brute force."""
 
+import math
+import re
+from collections import Counter
+
+import numpy as np
+
 from quarrystone.functions import scalar
 from quarrystone.plans import queries
 
@@ -17,3 +23,31 @@ def test_folding_equals_brute_force_on_documents(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
     got = {r.doc_id: r.folded for r in queries.QUERIES["scalar_folding_texts"](spark, small).collect()}
     assert got == {i: scalar.fold(t) for i, t in texts.items()}
+
+
+def test_cosine_takes_every_twentieth_row_against_all(spark, small):
+    rows = spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding").collect()
+    v = {r.vec_id: np.array(r.embedding, float) for r in rows}
+    got = {(r.query_id, r.vec_id): r.cosine for r in queries.QUERIES["retrieval_cosine_queries"](spark, small).collect()}
+    assert set(got) == {(q, i) for q in v if q % 20 == 0 for i in v}
+    for (q, i), c in got.items():
+        assert abs(c - v[q] @ v[i] / np.linalg.norm(v[q]) / np.linalg.norm(v[i])) < 1e-8
+
+
+def test_bm25_searches_whole_documents(spark, small):
+    def bags(name, key):
+        rows = spark.read.parquet(f"{small}/{name}.parquet").select(key, "text").collect()
+        return {r[key]: Counter(re.findall(r"[^\W]+", (r.text or "").lower())) for r in rows}
+
+    docs, asked = bags("documents", "doc_id"), bags("benchmark", "item_id")
+    df = Counter(w for bag in docs.values() for w in bag)
+    long = {d: sum(bag.values()) for d, bag in docs.items()}
+    mean = sum(long.values()) / len(docs)
+    want = {}
+    for q, words in asked.items():
+        for d, bag in docs.items():
+            s = sum(n * math.log(1 + (len(docs) - df[w] + 0.5) / (df[w] + 0.5)) * bag[w] * 2.5 / (bag[w] + 1.5 * (0.25 + 0.75 * max(long[d], 1) / mean)) for w, n in words.items() if w in bag)
+            if s > 0:
+                want[q, d] = s
+    got = {(r.item_id, r.doc_id): r.score for r in queries.QUERIES["retrieval_bm25_documents"](spark, small).collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
