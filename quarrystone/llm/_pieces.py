@@ -114,11 +114,8 @@ class Lattice:
         return np.flatnonzero(out)
 
 
-def relax_unigram(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.ndarray):
-    """Best paths by total score; of equal ones into a node, that whose last piece starts first.
-
-    Returns the score and, for each node, the last piece (-1: a character outside the vocabulary) and its start.
-    """
+def _waves(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.ndarray, best: np.ndarray):
+    """Relax ``best`` by total score; of equal ones into a node, that whose last piece starts first. Yields settled nodes, starts and last pieces."""
     odd = lattice.unknown(pieces)
     end = np.concatenate([start + pieces.length[piece], odd + 1])
     score = np.concatenate([pieces.score[piece], np.full(len(odd), pieces.unknown_score)])
@@ -126,8 +123,6 @@ def relax_unigram(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np
     wave = end - lattice.first[lattice.of[start]]
     order = np.lexsort((start, end, wave))
     start, end, score, piece, wave = (x[order] for x in (start, end, score, piece, wave))
-    best = np.zeros(len(lattice.points))
-    back, by = np.full(len(best), -1, np.int64), np.full(len(best), -1, np.int64)
     cuts = np.r_[0, np.flatnonzero(np.diff(wave)) + 1, len(wave)] if len(wave) else np.zeros(1, np.int64)
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         total = best[start[a:b]] + score[a:b]
@@ -136,10 +131,34 @@ def relax_unigram(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np
         hit = np.flatnonzero(total == np.repeat(top, np.diff(np.r_[own, b - a])))
         hit = hit[np.r_[True, end[a + hit[1:]] != end[a + hit[:-1]]]]
         node = end[a + hit]
-        best[node], back[node], by[node] = total[hit], start[a + hit], piece[a + hit]
+        best[node] = total[hit]
+        yield node, start[a + hit], piece[a + hit]
+
+
+def relax_unigram(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.ndarray):
+    """Best paths by total score.
+
+    Returns the score and, for each node, the last piece (-1: a character outside the vocabulary) and its start.
+    """
+    best = np.zeros(len(lattice.points))
+    back, by = np.full(len(best), -1, np.int64), np.full(len(best), -1, np.int64)
+    for node, a, p in _waves(lattice, pieces, start, piece, best):
+        back[node], by[node] = a, p
     return best, by, back
 
 
+def count_unigram(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.ndarray) -> np.ndarray:
+    """For each node the number of pieces of its best path, carried beside the score; no path is kept."""
+    best, count = np.zeros(len(lattice.points)), np.zeros(len(lattice.points), np.int64)
+    for node, a, p in _waves(lattice, pieces, start, piece, best):
+        width = np.ones(len(node), np.int64)
+        if pieces.byte_fallback:
+            c = lattice.points[a]
+            width += (p == -1) * (0 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF))
+        count[node] = count[a] + width
+    return count
+
+
 def relax_bpe(lattice: Lattice, pieces: Pieces, start: np.ndarray, piece: np.ndarray, long: int = 256) -> np.ndarray:
     """Merges in order of score, the leftmost first on a tie; edges come in order of position. Each round joins, in every chunk, the best edge that two
     neighbouring symbols fill. Chunks of over ``long`` characters take the same steps from a heap.

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cache_of, lean, slices, with_text
-from ._pieces import Lattice, Pieces, chunk_text, relax_unigram
+from ._pieces import Lattice, Pieces, chunk_text, count_unigram
 
 #: Distinct chunks whose counts a worker remembers in each of two generations; what is used again moves to the younger one.
 MEMORY = 400_000
@@ -40,21 +40,8 @@ class Counter:
         lattice = Lattice([chunk_text(k) for k in keys])
         flat = np.fromiter(chain.from_iterable(self.automaton.iter(lattice.joined)), np.int64).reshape(-1, 2)
         piece = flat[:, 1]
-        _, by, back = relax_unigram(lattice, self.pieces, flat[:, 0] + 1 - self.pieces.length[piece], piece)
-        width = np.ones(len(by), np.int64)
-        odd = np.flatnonzero(by == -1)
-        if self.pieces.byte_fallback and len(odd):
-            p = lattice.points[np.maximum(odd - 1, 0)]
-            width[odd] = 1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF)
-        total = np.zeros(len(keys), np.int64)
-        at = lattice.last.copy()
-        live = np.flatnonzero(at > lattice.first)
-        while len(live):
-            node = at[live]
-            total[live] += width[node]
-            at[live] = back[node]
-            live = live[at[live] > lattice.first[live]]
-        return total
+        count = count_unigram(lattice, self.pieces, flat[:, 0] + 1 - self.pieces.length[piece], piece)
+        return np.where(lattice.last > lattice.first, count[lattice.last], 0)
 
     def counts(self, texts: list[str | None]) -> np.ndarray:
         parts = [self.pieces.chunks(t or "") for t in texts]

@@ -2,7 +2,7 @@
 
 import random
 
-from quarrystone.llm import near_dup
+from quarrystone.llm import _pieces, near_dup, queries, token_count
 
 
 def test_copies_with_own_text_stay_in_a_large_group(spark):
@@ -21,3 +21,25 @@ def test_copies_with_own_text_stay_in_a_large_group(spark):
     assert all(100 * len(s & sets[0]) >= 80 * len(s | sets[0]) for s in sets)
     assert {r.doc_id for r in got if r.component_id != 0} == set()
     assert [r.doc_id for r in got if r.kept] == [0]
+
+
+def test_counts_are_carried_without_a_path():
+    """The count of each chunk is that of the walked best path, and the counter keeps no path."""
+    assert not hasattr(token_count, "relax_unigram")
+    with open(queries.MODEL, "rb") as f:
+        counter = token_count.Counter(f.read())
+    rng = random.Random(2)
+    keys = ["".join(rng.choices("abetion sé漢😀\u0378", k=rng.randint(1, 40))).replace(" ", "") or "a" for _ in range(500)]
+    lattice = _pieces.Lattice([_pieces.chunk_text(k) for k in keys])
+    found = [(e, i) for e, i in counter.automaton.iter(lattice.joined)]
+    ends, piece = (token_count.np.array(x) for x in zip(*found, strict=True))
+    _, by, back = _pieces.relax_unigram(lattice, counter.pieces, ends + 1 - counter.pieces.length[piece], piece)
+    want = []
+    for first, at in zip(lattice.first.tolist(), lattice.last.tolist(), strict=True):
+        n = 0
+        while at > first:
+            p = int(lattice.points[at - 1])
+            n += 1 + (p > 0x7F) + (p > 0x7FF) + (p > 0xFFFF) if by[at] == -1 and counter.pieces.byte_fallback else 1
+            at = int(back[at])
+        want.append(n)
+    assert counter.chunk_counts(keys).tolist() == want
