@@ -1,7 +1,7 @@
 """Mixing sources to target weights by Pfair scheduling, in DataFrame and SQL operations only.
 
-The rows of a source, in the order of the MD5 of their id, form blocks. Weights become whole quotas of a period of
-``slots`` slots. Block k of a source with quota q has release floor(k * slots / q) and deadline ceil((k + 1) * slots / q);
+The rows of a source, in the order of the MD5 of their id, form blocks. Weights, as their decimal text says, become
+whole quotas of a period that holds them exactly, of up to ``slots`` slots where that is possible. Block k of a source with quota q has release floor(k * slots / q) and deadline ceil((k + 1) * slots / q);
 in each slot the released block with the earliest deadline runs (the first source in name order on a tie). The quotas fill the
 period, so every block runs in its window and after any number of slots each source is less than one block away from
 its share. The schedule of one period repeats: block b of a source runs in period b div q, in the slot of its block b mod q.
@@ -21,7 +21,9 @@ replaced. An empty table stays empty. More than MAX_SOURCES sources are refused.
 
 from __future__ import annotations
 
+import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ SLOTS = 1000
 BLOCK_ROWS = 64
 RANGE_ROWS = 256
 MAX_SOURCES = 1000
+#: Periods up to this many slots are laid out by a SQL aggregate; of longer ones only the slots that the rows need, on the driver.
+LONGEST = 2000
 
 
 def quotas(weights: list[float], slots: int) -> list[int]:
@@ -47,6 +51,31 @@ def quotas(weights: list[float], slots: int) -> list[int]:
     return out
 
 
+def whole(weights: list[float], slots: int) -> tuple[list[int], int]:
+    """Quotas in exactly the proportion of the weights and their sum: the largest multiple of the least such sum up to ``slots``, or that sum."""
+    exact = [Fraction(str(w)) for w in weights]
+    scale = math.lcm(*(x.denominator for x in exact))
+    least = [int(x * scale) for x in exact]
+    divisor = math.gcd(*least)
+    least = [x // divisor for x in least]
+    times = max(1, slots // sum(least))
+    return [x * times for x in least], sum(least) * times
+
+
+def first_slots(quota: list[int], slots: int, n: int) -> list[int]:
+    """The source of each of the first ``n`` slots of a long period, by the rule of ``schedule``."""
+    waiting, ready, out = [(0, i, 0) for i in range(len(quota))], [], []
+    for t in range(n):
+        while waiting and waiting[0][0] <= t:
+            _, i, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(k + 1) * slots // quota[i]), i, k))
+        _, i, k = heapq.heappop(ready)
+        out.append(i)
+        if k + 1 < quota[i]:
+            heapq.heappush(waiting, ((k + 1) * slots // quota[i], i, k + 1))
+    return out
+
+
 def schedule(quota: list[int], slots: int) -> str:
     """SQL array of the source (by place in ``quota``) that runs in each slot of a period."""
     q = f"array({', '.join(f'{x}L' for x in quota)})"
@@ -71,12 +100,15 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id_c
     if not found:
         zero = F.lit(0).cast("long")
         return df.withColumns({"mix_block": zero, "mix_slot": zero, "mix_position": zero})
-    slots = max(slots, 10 * len(found))
-    quota = quotas(given, slots)
+    quota, slots = whole(given, slots)
     bits = [min(16, max(0, math.ceil(math.log2(max(1, r["count"] / range_rows))))) for r in found]
     kind = df.schema[source].dataType.simpleString()
     plan = spark.createDataFrame([(r.s, i, q, b) for i, (r, q, b) in enumerate(zip(found, quota, bits, strict=True))], f"__s {kind}, __i int, __q long, __b int")
-    runs = spark.range(1).select(F.posexplode(F.expr(schedule(quota, slots))).alias("__slot", "__i"))
+    if slots <= LONGEST:
+        runs = spark.range(1).select(F.posexplode(F.expr(schedule(quota, slots))).alias("__slot", "__i"))
+    else:
+        need = max(-(-math.ceil(r["count"] / block_rows) * slots // q) for r, q in zip(found, quota, strict=True))
+        runs = spark.createDataFrame(list(enumerate(first_slots(quota, slots, min(slots, need)))), "__slot long, __i int")
     runs = runs.withColumn("__nth", F.row_number().over(Window.partitionBy("__i").orderBy("__slot")) - 1)
 
     own = [c for c in df.columns if not df.schema[c].dataType.simpleString().startswith(("map", "variant"))]

@@ -2,7 +2,9 @@
 
 import random
 
-from quarrystone.llm import _pieces, near_dup, queries, token_count
+from pyspark.sql import functions as F
+
+from quarrystone.llm import _pieces, mixing, near_dup, queries, token_count
 
 
 def test_copies_with_own_text_stay_in_a_large_group(spark):
@@ -43,3 +45,16 @@ def test_counts_are_carried_without_a_path():
             at = int(back[at])
         want.append(n)
     assert counter.chunk_counts(keys).tolist() == want
+
+
+def test_mix_stays_within_a_block_of_the_weights(spark):
+    """Deviation from the weights themselves, past many periods and in a period that is never finished."""
+    df = spark.range(9000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.col("id") % 3).alias("source"))
+    for weights in ({}, {"s0": 0.3334, "s1": 0.3333, "s2": 0.33331}):
+        rows = mixing.mix(df, weights, block_rows=1).select("source", "mix_slot").orderBy("mix_slot").collect()
+        w = [weights.get(f"s{i}", 1.0) for i in range(3)]
+        done = [0] * 3
+        for t, r in enumerate(rows[:8900], 1):
+            assert r.mix_slot == t - 1
+            done[int(r.source[1])] += 1
+            assert all(abs(done[i] - t * w[i] / sum(w)) < 1 + 1e-9 for i in range(3))
