@@ -58,6 +58,8 @@ def _expression(e) -> Node:
         out.names = tuple(_seq(e.nameParts()))
     elif kind == "UnresolvedFunction":
         out.names = tuple(_seq(e.nameParts()))
+    elif kind == "UnresolvedGenerator":
+        out.names = (e.name().funcName(),)
     return out
 
 
@@ -71,6 +73,8 @@ def _plan(p) -> Node:
         return out
     out.children = [_plan(c) for c in _seq(p.children())]
     out.expressions = [_expression(e) for e in _seq(p.expressions())]
+    if kind == "Generate":
+        out.expressions.append(_expression(p.generator()))
     if kind == "UnresolvedRelation":
         out.names = tuple(_seq(p.multipartIdentifier()))
     elif kind == "UnresolvedTableValuedFunction":
