@@ -421,16 +421,6 @@ def test_quality_on_held_out_documents(spark):
     assert (got[got.quality == 1].predicted == 1).mean() > 0.98
 
 
-def test_quality_gradient():
-    rng = np.random.default_rng(1)
-    x, first = rng.normal(size=(40, 14)), np.array([0, 5, 6, 20, 40])
-    y = np.array([0.0, 1, 1, 0])
-    a = quality.fit(x, first, y, epochs=1, batch=4, rate=0.0)
-    b = quality.fit(x, first, y, epochs=200, batch=4, rate=0.01)
-    loss = lambda m: -np.mean(np.log(np.where(y == 1, quality.forward(m, x, first)["p"], 1 - quality.forward(m, x, first)["p"])))
-    assert loss(b) < 0.2 * loss(a)
-
-
 @pytest.mark.parametrize("module", [toxicity, quality])
 def test_classifiers_on_odd_rows(spark, module):
     df = odd_rows(spark)
