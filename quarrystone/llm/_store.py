@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from functools import lru_cache
 
@@ -13,9 +12,11 @@ import zstandard
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed block; integers that rise slowly cost little when passed as differences."""
-    c = zstandard.ZstdCompressor(level=1)
-    parts = [c.compress(np.ascontiguousarray(a).tobytes()) for a in arrays]
+    """Arrays as one block: first bytes of all numbers, then second ones, and so on, compressed, so that sorted or small numbers cost little."""
+    c, parts = zstandard.ZstdCompressor(level=1), []
+    for a in arrays:
+        a = np.ascontiguousarray(a)
+        parts.append(c.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()))
     return b"".join([np.array([len(parts), *map(len, parts)], np.int64).tobytes(), *parts])
 
 
@@ -23,7 +24,8 @@ def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
     sizes = np.frombuffer(block, np.int64, 1 + len(kinds))[1:]
     at, out = 8 * (1 + len(kinds)), []
     for n, kind in zip(sizes, kinds, strict=True):
-        out.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(block[at : at + n]), kind))
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[at : at + n]), np.uint8)
+        out.append(np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
         at += n
     return out
 
@@ -42,22 +44,30 @@ def write(folder: str, name: str, *arrays: np.ndarray) -> None:
     fs.move(part, f"{path}/{name}")
 
 
-@lru_cache(256)
-def mapped(folder: str, name: str) -> np.ndarray:
-    """The file's bytes as a memory map; one in a store that is no local file system is first copied to the worker."""
+@lru_cache(4096)
+def mapped(folder: str, name: str, may_lack: bool = False) -> np.ndarray:
+    """The file's bytes as a memory map; one in a store that is no mounted file system is read into memory, never to a local disk.
+    ``may_lack``: a shard that got nothing has no file."""
     fs, path = _split(folder)
     path = f"{path}/{name}"
+    if may_lack and fs.get_file_info(path).type == pafs.FileType.NotFound:
+        return np.zeros(0, np.uint8)
     if not isinstance(fs, pafs.LocalFileSystem):
-        local = os.path.join(tempfile.mkdtemp(), name)
-        with fs.open_input_stream(path) as src, open(local, "wb") as out:
-            while block := src.read(1 << 22):
-                out.write(block)
-        path = local
+        with fs.open_input_stream(path) as src:
+            return np.frombuffer(src.read(), np.uint8)
     return np.memmap(path, np.uint8, "r") if os.path.getsize(path) else np.zeros(0, np.uint8)
 
 
+def runs(sorted_values: np.ndarray):
+    """(start, end, value) of each run of equal values."""
+    cuts = np.flatnonzero(np.diff(sorted_values)) + 1
+    for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(sorted_values)], strict=True):
+        if a < b:
+            yield int(a), int(b), int(sorted_values[a])
+
+
 class SortedHashes:
-    """A sorted array of 64-bit hashes with a 32-bit count each, cut into files by the top bits of the hash."""
+    """A sorted array of 64-bit hashes with a 64-bit count each, cut into files by the top bits of the hash."""
 
     def __init__(self, folder: str, kind: str, sizes: np.ndarray):
         self.folder, self.kind, self.bits = folder, kind, int(len(sizes)).bit_length() - 1
@@ -66,18 +76,12 @@ class SortedHashes:
     def shard(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         n = int(self.offsets[k + 1] - self.offsets[k])
         raw = mapped(self.folder, f"{self.kind}-{k}") if n else np.zeros(0, np.uint8)
-        return raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32)
-
-    def _runs(self, shards: np.ndarray):
-        cuts = np.flatnonzero(np.diff(shards)) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(shards)], strict=True):
-            if a < b:
-                yield a, b, int(shards[a])
+        return raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.int64)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and count of each of the sorted ``keys``; -1 and 0 where it is absent."""
-        place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.uint32)
-        for a, b, k in self._runs(shard_of(keys, self.bits)):
+        place, count = np.full(len(keys), -1, np.int64), np.zeros(len(keys), np.int64)
+        for a, b, k in runs(shard_of(keys, self.bits)):
             hashes, counts = self.shard(k)
             if len(hashes):
                 at = np.minimum(np.searchsorted(hashes, keys[a:b]), len(hashes) - 1)
@@ -86,12 +90,68 @@ class SortedHashes:
                 count[a:b] = np.where(hit, counts[at], 0)
         return place, count
 
-    def counts(self, places: np.ndarray) -> np.ndarray:
-        """Counts at sorted places."""
-        out = np.zeros(len(places), np.uint32)
-        for a, b, k in self._runs(np.searchsorted(self.offsets, places, "right") - 1):
-            out[a:b] = self.shard(k)[1][places[a:b] - self.offsets[k]]
-        return out
+
+class PackedTable:
+    """Sorted keys of KEY bits with small numbers, five bytes a key, in one file a shard.
+
+    The last two bits of a key's five bytes are 1 to 3 for that value, or 0 where the value is kept at the end of the file in 64
+    bits; with ``columns`` numbers a key, each is one byte unless one of them is larger. A key that is absent is taken
+    for one that is there with a chance of the shard's keys / 2**KEY; equal keys are added up.
+    """
+
+    KEY = 38
+
+    def __init__(self, folder: str, kind: str, columns: int = 0):
+        self.folder, self.kind, self.columns = folder, kind, columns
+
+    def write(self, k: int, keys: np.ndarray, values: np.ndarray) -> None:
+        """``keys`` below 2**KEY in any order; ``values`` of shape (n,) or (n, columns)."""
+        order = np.argsort(keys, kind="stable")
+        keys, values = keys[order], values[order].reshape(len(keys), self.columns or 1).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+        if len(first) < len(keys):
+            keys, values = keys[first], np.add.reduceat(values, first, axis=0)
+        far = (values > (255 if self.columns else 3)).any(1) | (values[:, 0] < (0 if self.columns else 1))
+        code = np.where(far, 0, 1 if self.columns else values[:, 0]).astype(np.uint64)
+        five = (keys.astype(np.uint64) << np.uint64(2)) | code
+        own = np.where(far[:, None], 0, values).astype(np.uint8) if self.columns else np.zeros((0, 0), np.uint8)
+        at = np.flatnonzero(far)
+        head = np.array([len(keys), len(at)], np.int64)
+        write(self.folder, f"{self.kind}-{k}", head, values[at], at.astype(np.uint32), (five >> np.uint64(8)).astype(np.uint32), (five & np.uint64(255)).astype(np.uint8), own)
+
+    def find(self, shards: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The values of each (shard, key), zeros where it is absent; any order."""
+        width = self.columns or 1
+        out = np.zeros((len(keys), width), np.int64)
+        order = np.lexsort((keys, shards))
+        high, low = (keys[order] >> np.uint64(6)).astype(np.uint32), (keys[order] & np.uint64(63)).astype(np.uint8)
+        for a, b, k in runs(shards[order]):
+            raw = mapped(self.folder, f"{self.kind}-{k}", True)
+            if not len(raw):
+                continue
+            n, m = (int(x) for x in raw[:16].view(np.int64))
+            s = 16 + 8 * width * m
+            far, far_at = raw[16:s].view(np.int64).reshape(m, width), raw[s : s + 4 * m].view(np.uint32)
+            s += 4 * m
+            hi, lo, own = raw[s : s + 4 * n].view(np.uint32), raw[s + 4 * n : s + 5 * n], raw[s + 5 * n :]
+            at = np.searchsorted(hi, high[a:b]) if n else np.zeros(b - a, np.int64)
+            place = np.full(b - a, -1, np.int64)
+            open_ = np.flatnonzero(at < n)
+            while len(open_):  # several keys may share the first four bytes
+                x = at[open_]
+                same = hi[x] == high[a:b][open_]
+                hit = same & (lo[x] >> 2 == low[a:b][open_])
+                place[open_[hit]] = x[hit]
+                open_ = open_[same & ~hit]
+                at[open_] += 1
+                open_ = open_[at[open_] < n]
+            hit = np.flatnonzero(place >= 0)
+            code = (lo[place[hit]] & 3).astype(np.int64)
+            found = own.reshape(n, width)[place[hit]].astype(np.int64) if self.columns else code[:, None].copy()
+            big = np.flatnonzero(code == 0)
+            found[big] = far[np.searchsorted(far_at, place[hit][big])]
+            out[order[a:b][hit]] = found
+        return out if self.columns else out[:, 0]
 
 
 def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -99,9 +159,9 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and the sums of their counts."""
-    k, c = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (counts, np.uint32)))
+    """Sorted distinct keys and the sums of their counts, in 64 bits."""
+    k, c = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (counts, np.int64)))
     order = np.argsort(k, kind="stable")
-    k, c = k[order], c[order]
+    k, c = k[order], c[order].astype(np.int64)
     first = np.flatnonzero(np.r_[True, k[1:] != k[:-1]][: len(k)])
-    return k[first], (np.add.reduceat(c.astype(np.int64), first) if len(k) else c).astype(np.uint32)
+    return k[first], np.add.reduceat(c, first) if len(k) else c

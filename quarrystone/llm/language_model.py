@@ -1,18 +1,24 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark and memory-mapped by workers.
-
-``train`` counts all training texts. Map tasks sum what they see and send compressed blocks of sorted hashes, cut
-by the top bits of the hash, so a frequent word or pair costs one entry per task; reducers merge them into sorted
-hash arrays in the shared folder. A word's id is its place in the vocabulary array. A pair's hash is a bijective mix of
-both ids, so a pair cannot collide; words collide with a chance of about V*V/2**65. Counts of distinct
-followers and predecessors are summed over ranges of ids. ``score`` maps those files and looks up
-each distinct word and pair of a slice once.
-
-Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; every text ends with one end token and is preceded by a start
-context. Discounts D1, D2, D3+ follow from the counts of counts of each order; the unigram level is interpolated
-with 1 / (V + 1), one unknown word included. Without pairs of an order's needed counts its discounts are 0.5, 1 and 1.5.
-
-Edge cases: a null or empty text is the end token alone; with no training text N = V = 0 and scores are 0;
-repeated rows count as often as they occur. ``train`` refuses more than 2**32 - 2 distinct words.
+"""Interpolated modified Kneser-Ney model of order three, counted in Spark and memory-mapped by workers.
+
+``train`` counts all training texts in three shuffles. Words: map tasks sum what they see and send compressed blocks of sorted
+hashes; reducers merge them into sorted hash arrays, and a word's id is its place there. Trigrams: map tasks sort the ids of up to
+HOLD tokens, sum equal trigrams and send blocks cut by the hash of the trigram's first two words, so a frequent trigram costs one
+entry a block; a reducer sees all followers of its contexts and writes both trigram counts and contexts. Bigrams:
+each distinct trigram adds one to the continuation count of its last two words. Counts of distinct followers and predecessors
+of a word are summed over ranges of ids. ``score`` maps the files and looks up each distinct word and bigram of a slice once.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lowered; every text ends with one end token and is preceded by two start
+contexts. The highest order uses counts, the lower ones continuation counts; discounts D1, D2, D3+ follow from the counts of counts
+of each order, and are 0.5, 1 and 1.5 where one of those is zero. The unigram level is interpolated with 1 / (V + 1), one
+unknown word included. A context never seen leaves the lower order as it is.
+
+Word hashes have 64 bits. N-grams are kept under 38 bits beside the shard's, in shards of about SHARD_BYTES of text: an n-gram that
+is not there is taken for another one with a chance of about 1e-5. All counts have 64 bits. The model is a folder of the shared
+one; ``Model.remove`` deletes it when no score is to be read any more.
+
+Edge cases: a null or empty text is the end token alone; a very long text is cut into slices of rows, never inside, and holds some
+100 bytes a word while it is counted or scored; with no training text N = V = 0 and scores are 0; repeated rows count as often as
+they occur; columns of ``docs`` called like the added ones are replaced. ``train`` refuses more than 2**32 - 2 distinct words.
 """
 
 from __future__ import annotations
@@ -21,29 +27,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import lean, shared_path, slices, small_batches, stored
-from ._store import SortedHashes, mapped, merge, pack, shard_of, unpack, write
+from ._common import lean, remove, shared_path, slices, small_batches, stored
+from ._store import PackedTable, SortedHashes, mapped, merge, pack, runs, shard_of, unpack, write
 from ._words import Words, mix
 
 END = np.uint64(0x656E64)
 #: Bytes of training text for each shard of the model.
 SHARD_BYTES = 16 << 20
 #: Shards are 2**MAX_BITS at most, so that what the driver gets of them is bounded; beyond that they grow.
-MAX_BITS = 18
-#: Distinct entries that a map task holds before it sends them.
+MAX_BITS = 20
+#: Distinct words, and tokens, that a map task holds before it sends them.
 HOLD = 2_000_000
-
-
-def unmix(x: np.ndarray) -> np.ndarray:
-    """The inverse of ``mix``."""
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+LOW = np.uint64(0xFFFFFFFF)
+SHIFT = np.uint64(32)
 
 
 def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -55,38 +54,65 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
+def pair_key(pair: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and key of pairs of ids; a pair is one 64-bit number."""
+    h = mix(pair)
+    return shard_of(h, bits), (h << np.uint64(bits)) >> np.uint64(64 - PackedTable.KEY)
+
+
+def triple_key(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a trigram in the shard of its first two words."""
+    return mix(mix(pair) + word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PackedTable.KEY)
+
+
 @dataclass
 class Model:
     folder: str
     words: SortedHashes
-    pairs: SortedHashes
+    bits: int
     width: int
     n_tokens: int
     n_docs: int
-    discounts: tuple[float, float, float]
-    lower: tuple[float, float, float]
-    lower_rest: float
+    #: Distinct bigrams, and discounts of the orders one, two and three.
+    bigrams: int = 0
+    discounts: tuple[tuple[float, float, float], ...] = ((0.5, 1.0, 1.5),) * 3
+    rest: float = 1.0
 
     @property
     def vocabulary(self) -> int:
         return int(self.words.offsets[-1])
 
+    @property
+    def triples(self) -> PackedTable:
+        return PackedTable(self.folder, "triple")
+
+    @property
+    def contexts(self) -> PackedTable:
+        """Followers seen once, twice and more often, and the count of all, of pairs seen at least twice."""
+        return PackedTable(self.folder, "pair", 4)
+
+    @property
+    def continuations(self) -> PackedTable:
+        return PackedTable(self.folder, "before")
+
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and training count of each token; -1 and 0 for an unknown one."""
         distinct, back = np.unique(hashes, return_inverse=True)
         place, count = self.words.find(distinct)
         return place[back], count[back]
 
-    def context(self, ids: np.ndarray) -> np.ndarray:
-        """For sorted ids: followers seen once, twice, more often, and distinct predecessors; one row each."""
-        out = np.zeros((4, len(ids)), np.uint32)
-        cuts = np.flatnonzero(np.diff(ids // self.width)) + 1
-        for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ids)], strict=True):
-            if a < b:
-                k = int(ids[a]) // self.width
-                out[:, a:b] = mapped(self.folder, f"context-{k}").view(np.uint32).reshape(4, -1)[:, ids[a:b] - k * self.width]
+    def followed(self, ids: np.ndarray) -> np.ndarray:
+        """For sorted ids: continuations of count 1, 2 and more after the word, their sum, and distinct predecessors; a row each."""
+        out = np.zeros((5, len(ids)), np.int64)
+        for a, b, k in runs(ids // self.width):
+            raw = mapped(self.folder, f"word-context-{k}")
+            kind = np.uint64 if len(raw) == 40 * self.width else np.uint32
+            out[:, a:b] = raw.view(kind).reshape(5, -1)[:, ids[a:b] - k * self.width]
         return out
 
+    def remove(self, spark: SparkSession) -> None:
+        remove(spark, self.folder)
+
 
 def _reduced(rows: DataFrame, n: int, reduce, schema: str) -> DataFrame:
     """Bring the blocks of each shard together, a task for each shard, and reduce them."""
@@ -106,28 +132,99 @@ def _reduced(rows: DataFrame, n: int, reduce, schema: str) -> DataFrame:
     return rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(run), schema)
 
 
-def _blocks(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
-    shards = shard_of(keys, bits)
-    cuts = np.r_[0, np.flatnonzero(np.diff(shards)) + 1, len(keys)]
-    rows = [(int(shards[a]), pack(keys[a:b], counts[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b]
+def _blocks(shards: np.ndarray, packed) -> pa.RecordBatch:
+    """One row (shard, block) for each run of equal shards."""
+    rows = [(k, packed(a, b)) for a, b, k in runs(shards)]
     return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "block"])
 
 
-def _counted(rows: DataFrame, keys_of, bits: int) -> DataFrame:
+def _counted_words(rows: DataFrame, bits: int) -> DataFrame:
+    def sent(keys, counts):
+        return _blocks(shard_of(keys, bits), lambda a, b: pack(keys[a:b], counts[a:b]))
+
     def run(batches):
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, "__t"):
-                held.append(np.unique(keys_of(part.column(0)), return_counts=True))
+                held.append(np.unique(tokens(part.column(0))[0], return_counts=True))
                 size += len(held[-1][0])
                 if size > HOLD:
-                    merged = merge([k for k, _ in held], [c.astype(np.uint32) for _, c in held])
-                    held, size = [merged], len(merged[0])
+                    held = [merge(*zip(*held, strict=True))]
+                    size = len(held[0][0])
                     if size > HOLD // 2:
-                        yield _blocks(*merged, bits)
+                        yield sent(*held[0])
                         held, size = [], 0
         if held:
-            yield _blocks(*merge([k for k, _ in held], [c.astype(np.uint32) for _, c in held]), bits)
+            yield sent(*merge(*zip(*held, strict=True)))
+
+    return rows.mapInArrow(lean(run), "shard int, block binary")
+
+
+def summed(pair: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (pair, word) in order and the sums of their counts (1 each unless given)."""
+    order = np.lexsort((word, pair))
+    pair, word = pair[order], word[order]
+    first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])][: len(pair)])
+    n = np.diff(np.r_[first, len(pair)]) if counts is None else np.add.reduceat(counts[order], first) if len(pair) else counts
+    return pair[first], word[first], n.astype(np.int64)
+
+
+def _packed_pairs(pair: np.ndarray, word: np.ndarray, counts: np.ndarray) -> bytes:
+    """Rows in order of pair and word: distinct pairs as differences of first words, second words, words a pair, then words and counts."""
+    head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    u = (pair[head] >> SHIFT).astype(np.uint32)
+    return pack(np.diff(u, prepend=np.uint32(0)), (pair[head] & LOW).astype(np.uint32), np.diff(np.r_[head, len(pair)]).astype(np.uint32), word.astype(np.uint32), counts)
+
+
+def _unpacked_pairs(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = []
+    for b in blocks:
+        u, v, n, word, counts = unpack(b, *[np.uint32] * 4, np.int64)
+        pair = (np.cumsum(u, dtype=np.uint64) << SHIFT) | v.astype(np.uint64)
+        parts.append((np.repeat(pair, n), word.astype(np.uint64), counts))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def _by_shard(pair: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
+    order = np.argsort(shards.astype(np.uint16) if shards.max(initial=0) < 1 << 16 else shards, kind="stable")
+    pair, word, counts = pair[order], word[order], counts[order]
+    return _blocks(shards[order], lambda a, b: _packed_pairs(pair[a:b], word[a:b], counts[a:b]))
+
+
+def _trigrams(model: Model):
+    """Pairs and words of every token of a string column: (start, start) and (start, first word) are pairs too."""
+    start = np.uint64(model.vocabulary)
+
+    def of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        h, first = tokens(col)
+        w = model.ids(h)[0].astype(np.uint64)
+        v = np.r_[start, w[:-1]]
+        v[first[:-1]] = start
+        u = np.r_[start, v[:-1]]
+        u[first[:-1]] = start
+        return (u << SHIFT) | v, w
+
+    return of
+
+
+def _counted_trigrams(rows: DataFrame, model: Model) -> DataFrame:
+    of, bits = _trigrams(model), model.bits
+
+    def sent(held):
+        pair, word, counts = summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        return _by_shard(pair, word, counts, pair_key(pair, bits)[0])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            for part in slices(batch, "__t"):
+                held.append(of(part.column(0)))
+                size += len(held[-1][0])
+                if size > HOLD:
+                    yield sent(held)
+                    held, size = [], 0
+        if held:
+            yield sent(held)
 
     return rows.mapInArrow(lean(run), "shard int, block binary")
 
@@ -139,6 +236,22 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return tuple(min(max(i - (i + 1) * y * b / a, 0.0), float(i)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
 
 
+def _kinds(counts: np.ndarray) -> list[int]:
+    """How many are 1, 2, 3, 4, and at least 3."""
+    return [int((counts == i).sum()) for i in (1, 2, 3, 4)] + [int((counts > 2).sum())]
+
+
+def _with_kinds(batch: pa.RecordBatch, k: int, kinds: list[int]) -> pa.RecordBatch:
+    """The blocks of a reducer, and its counts of counts as a block of their own, told by its first byte."""
+    shard, block = pa.array([*batch.column(0).to_pylist(), k], pa.int32()), pa.array([*(b"B" + x for x in batch.column(1).to_pylist()), b"K" + np.array(kinds, np.int64).tobytes()], pa.binary())
+    return pa.RecordBatch.from_arrays([shard, block], ["shard", "block"])
+
+
+def _without_kinds(blocks: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    found = [np.frombuffer(b, np.int64, 5, 1) for b in blocks if b[:1] == b"K"]
+    return [b[1:] for b in blocks if b[:1] == b"B"], np.sum([np.zeros(5, np.int64), *found], axis=0)
+
+
 def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -> Model:
     """Count every text of ``docs`` and write the model's files; only sizes and sums reach the driver."""
     spark = docs.sparkSession
@@ -150,11 +263,11 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     n = 1 << bits
 
     def words_done(k, blocks):
-        keys, counts = merge(*zip(*(unpack(b, np.uint64, np.uint32) for b in blocks), strict=True))
+        keys, counts = merge(*zip(*(unpack(b, np.uint64, np.int64) for b in blocks), strict=True))
         write(folder, f"word-{k}", keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(keys)]), pa.array([int(counts.astype(np.int64).sum())])], ["k", "n", "total"])
+        return pa.RecordBatch.from_arrays([pa.array([k]), pa.array([len(keys)]), pa.array([int(counts.sum())])], ["k", "n", "total"])
 
-    done = _reduced(_counted(rows, lambda col: tokens(col)[0], bits), n, words_done, "k long, n long, total long").collect()
+    done = _reduced(_counted_words(rows, bits), n, words_done, "k long, n long, total long").collect()
     sizes = np.zeros(n, np.int64)
     for r in done:
         sizes[r.k] = r.n
@@ -163,67 +276,120 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
     if v > (1 << 32) - 2:
         raise ValueError("more distinct words than 32-bit ids")
     ranges = max(1, n // 8)
-    width = -(-(v + 1) // ranges)
-    model = Model(folder, words, SortedHashes(folder, "pair", np.zeros(n, np.int64)), width, total, n_docs, (0.5, 1.0, 1.5), (0.5, 1.0, 1.5), 1.0)
+    model = Model(folder, words, bits, -(-(v + 1) // ranges), total, n_docs)
     if not v:
         return model
-
-    def pair_keys(col):
-        h, first = tokens(col)
-        ids = model.ids(h)[0].astype(np.uint64)
-        before = np.r_[np.uint64(0), ids[:-1]]
-        before[first[:-1]] = v
-        return mix((before << np.uint64(32)) | ids)
-
-    def pairs_done(k, blocks):
-        keys, counts = merge(*zip(*(unpack(b, np.uint64, np.uint32) for b in blocks), strict=True))
-        write(folder, f"pair-{k}", keys, counts)
-        raw = unmix(keys)
-        u, w = (raw >> np.uint64(32)).astype(np.int64), (raw & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    width, start = model.width, np.uint64((v << 32) | v)
+
+    def trigrams_done(k, blocks):
+        pair, word, counts = summed(*_unpacked_pairs(blocks))
+        model.triples.write(k, triple_key(pair, word), counts)
+        head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+        by = [np.add.reduceat((counts == 1).astype(np.int64), head), np.add.reduceat((counts == 2).astype(np.int64), head), np.add.reduceat((counts > 2).astype(np.int64), head), np.add.reduceat(counts, head)]
+        often = (by[3] > 1) | (pair[head] == start)
+        model.contexts.write(k, pair_key(pair[head][often], bits)[1], np.column_stack(by)[often])
+        last = np.sort((pair << SHIFT) | word)
+        one = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
+        pairs, preceded = last[one], np.diff(np.r_[one, len(last)]).astype(np.int64)
+        # (v, w) goes as the pair (v, 0) with the word w
+        return _with_kinds(_by_shard(pairs & ~LOW, pairs & LOW, preceded, pair_key(pairs, bits)[0]), k, _kinds(counts))
+
+    after = _reduced(_counted_trigrams(rows, model), n, trigrams_done, "shard int, block binary")
+
+    def bigrams_done(k, blocks):
+        blocks, third = _without_kinds(blocks)
+        if not blocks:
+            return pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([b""], pa.binary()), pa.array([[*third, *[0] * 5]], pa.list_(pa.int64()))], ["shard", "block", "kinds"])
+        first, second, counts = summed(*_unpacked_pairs(blocks))
+        first = first >> SHIFT
+        model.continuations.write(k, pair_key((first << SHIFT) | second, bits)[1], counts)
+        cu, iu = np.unique(first.astype(np.int64), return_inverse=True)
+        t = np.bincount(iu * 3 + np.minimum(counts, 3) - 1, minlength=3 * len(cu)).reshape(-1, 3)
+        of = np.bincount(iu, counts.astype(np.float64), len(cu)).astype(np.int64)
+        cw, nw = np.unique(second.astype(np.int64), return_counts=True)
         out = []
-        cu, iu = np.unique(u, return_inverse=True)
-        kind = np.minimum(counts, 3).astype(np.int64) - 1
-        t = np.bincount(iu * 3 + kind, minlength=3 * len(cu)).reshape(-1, 3).astype(np.uint32)
-        cw, nw = np.unique(w, return_counts=True)
         for r in range(ranges):
             a, b = np.searchsorted(cu, [r * width, (r + 1) * width])
             c, d = np.searchsorted(cw, [r * width, (r + 1) * width])
             if a < b or c < d:
-                out.append((r, pack(np.diff(cu[a:b], prepend=r * width).astype(np.uint32), *(t[a:b, i].copy() for i in range(3)), np.diff(cw[c:d], prepend=r * width).astype(np.uint32), nw[c:d].astype(np.uint32))))
-        of_counts = [int((counts == i).sum()) for i in (1, 2, 3, 4)]
-        m = len(out)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r for r, _ in out] + [-1], pa.int32()), pa.array([b for _, b in out] + [b""], pa.binary()), pa.array([0] * m + [k]), pa.array([0] * m + [len(keys)]), pa.array([None] * m + [of_counts], pa.list_(pa.int64()))],
-            ["shard", "block", "k", "n", "of_counts"],
-        )
-
-    context = stored(_reduced(_counted(rows, pair_keys, bits), n, pairs_done, "shard int, block binary, k long, n long, of_counts array<long>"), "lm-context")
-    pair_sizes, of_counts = np.zeros(n, np.int64), np.zeros(4, np.int64)
-    for r in context.where("shard = -1").select("k", "n", "of_counts").collect():
-        pair_sizes[r.k] = r.n
-        of_counts += r.of_counts
-    model.pairs = SortedHashes(folder, "pair", pair_sizes)
-    model.discounts = _discounts(*map(int, of_counts))
-
-    def context_done(r, blocks):
-        dense = np.zeros((4, width), np.uint32)
+                out.append((r, pack(np.diff(cu[a:b], prepend=r * width).astype(np.uint32), *(t[a:b, i].astype(np.int64) for i in range(3)), of[a:b], np.diff(cw[c:d], prepend=r * width).astype(np.uint32), nw[c:d].astype(np.int64))))
+        kinds = pa.array([None] * len(out) + [[*third, *_kinds(counts)]], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([pa.array([r for r, _ in out] + [-1], pa.int32()), pa.array([b for _, b in out] + [b""], pa.binary()), kinds], ["shard", "block", "kinds"])
+
+    context = stored(_reduced(after, n, bigrams_done, "shard int, block binary, kinds array<long>"), "lm-words")
+    found = context.agg(*[F.sum(F.col("kinds")[i]) for i in range(10)]).first()
+    third, second = _discounts(*map(int, found[:4])), _discounts(*map(int, found[5:9]))
+
+    def words_followed(r, blocks):
+        dense = np.zeros((5, width), np.uint64)
         for b in blocks:
-            du, t1, t2, t3, dw, nw = unpack(b, *[np.uint32] * 6)
+            du, t1, t2, t3, of, dw, nw = unpack(b, np.uint32, *[np.int64] * 4, np.uint32, np.int64)
             u, w = np.cumsum(du, dtype=np.int64), np.cumsum(dw, dtype=np.int64)
-            for i, t in enumerate((t1, t2, t3)):
-                dense[i, u] += t
-            dense[3, w] += nw
-        write(folder, f"context-{r}", dense)
-        kinds = [int((dense[3] == i).sum()) for i in (1, 2, 3, 4)] + [int((dense[3] > 2).sum())]
-        return pa.RecordBatch.from_arrays([pa.array([kinds], pa.list_(pa.int64()))], ["kinds"])
-
-    kinds = np.sum([r.kinds for r in _reduced(context.where("shard >= 0").select("shard", "block"), ranges, context_done, "kinds array<long>").collect()], axis=0)
-    model.lower = _discounts(*map(int, kinds[:4]))
-    d = model.lower
-    model.lower_rest = float((d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[4]) / pair_sizes.sum())
+            for i, t in enumerate((t1, t2, t3, of)):
+                dense[i, u] += t.astype(np.uint64)
+            dense[4, w] += nw.astype(np.uint64)
+        write(folder, f"word-context-{r}", dense if dense.max(initial=0) >> SHIFT else dense.astype(np.uint32))
+        return pa.RecordBatch.from_arrays([pa.array([_kinds(dense[4]) + [int(dense[4].sum())]], pa.list_(pa.int64()))], ["kinds"])
+
+    kinds = np.sum([r.kinds for r in _reduced(context.where("shard >= 0").select("shard", "block"), ranges, words_followed, "kinds array<long>").collect()], axis=0)
+    d = _discounts(*map(int, kinds[:4]))
+    model.bigrams, model.discounts = int(kinds[5]), (d, second, third)
+    model.rest = float((d[0] * kinds[0] + d[1] * kinds[1] + d[2] * kinds[4]) / kinds[5])
     return model
 
 
+def _cut(discounts: tuple[float, float, float], counts: np.ndarray) -> np.ndarray:
+    """Counts less their discounts."""
+    return np.maximum(counts - np.array([0.0, *discounts])[np.minimum(counts, 3)], 0)
+
+
+def probabilities(m: Model, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By token: log10 of the model's and of the base probability, and whether the word is known."""
+    v, (d1, d2, d3) = m.vocabulary, m.discounts
+    distinct, back = np.unique(h, return_inverse=True)
+    ids, counts = m.words.find(distinct)
+    base = np.log10((counts[back] + 1.0) / (m.n_tokens + v + 1))
+    if not v:
+        return np.zeros(len(h)), base, np.zeros(len(h), bool)
+    known = np.flatnonzero(ids >= 0)
+    own = np.zeros((5, len(ids) + 1), np.int64)
+    own[:, known] = m.followed(ids[known])
+    own[:, -1] = m.followed(np.array([v]))[:, 0]
+    # one word
+    one = np.full(len(ids), m.rest / (v + 1))
+    one[known] += _cut(d1, own[4, known]) / max(m.bigrams, 1)
+    p = one[back]
+    # two words
+    start = np.zeros(len(h), bool)
+    start[first[:-1]] = True
+    before = np.r_[0, back[:-1]]
+    before[start] = len(ids)
+    of = np.r_[ids, v]
+    there = (of[before] >= 0) & (ids[back] >= 0)
+    pair = (of[before].astype(np.uint64) << SHIFT) | ids[back].astype(np.uint64)
+    pairs, place = np.unique(pair[there], return_inverse=True)
+    cont = np.zeros(len(h), np.int64)
+    cont[there] = m.continuations.find(*pair_key(pairs, m.bits))[place]
+    rest = d2[0] * own[0] + d2[1] * own[1] + d2[2] * own[2]
+    has = own[3][before] > 0
+    b = before[has]
+    p[has] = (_cut(d2, cont[has]) + rest[b] * p[has]) / own[3][b]
+    # three words: the context is the pair that ends at the word before
+    context = np.r_[np.uint64(0), pair[:-1]]
+    context[start] = np.uint64((v << 32) | v)
+    seen = np.r_[False, cont[:-1] > 0] | start
+    at = np.flatnonzero(seen)
+    contexts, place = np.unique(context[at], return_inverse=True)
+    stats = m.contexts.find(*pair_key(contexts, m.bits))[place]
+    stats[stats[:, 3] == 0] = (1, 0, 0, 1)  # seen, but not kept: once, with one follower
+    c = np.zeros(len(at), np.int64)
+    some = np.flatnonzero(cont[at] > 0)
+    t = at[some]
+    c[some] = m.triples.find(pair_key(context[t], m.bits)[0], triple_key(context[t], ids[back[t]].astype(np.uint64)))
+    p[at] = (_cut(d3, c) + (stats[:, :3] @ np.array(d3)) * p[at]) / stats[:, 3]
+    return np.log10(p), base, counts[back] > 0
+
+
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add n_tokens, n_known, train_tokens, base_score and score (log10) to every row of ``docs``; the text column goes."""
     small_batches(docs.sparkSession)
@@ -232,40 +398,11 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.withColumn("__t", F.col(text)).drop(text, *names)
     kept = [c for c in docs.columns if c != "__t"]
 
-    def probabilities(h, first):
-        m, v = model, model.vocabulary
-        distinct, back = np.unique(h, return_inverse=True)
-        ids, counts = m.words.find(distinct)
-        known = np.flatnonzero(ids >= 0)
-        own = m.context(ids[known]) if v else np.zeros((4, 0))
-        lower = np.full(len(ids), m.lower_rest / (v + 1))
-        cont = own[3].astype(np.int64)
-        types = max(int(m.pairs.offsets[-1]), 1)
-        lower[known] += np.maximum(cont - np.array([0.0, *m.lower])[np.minimum(cont, 3)], 0) / types
-        rest, context_count = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
-        rest[known] = sum(d * t for d, t in zip(m.discounts, own[:3], strict=True))
-        context_count[known] = counts[known]
-        if v:
-            rest[-1], context_count[-1] = sum(d * int(t[0]) for d, t in zip(m.discounts, m.context(np.array([v]))[:3], strict=True)), m.n_docs
-        before = np.r_[0, back[:-1]]
-        before[first[:-1]] = len(ids)
-        of = np.r_[ids, v]
-        seen = (of[before] >= 0) & (ids[back] >= 0)
-        key = mix((of[before[seen]].astype(np.uint64) << np.uint64(32)) | ids[back[seen]].astype(np.uint64))
-        pairs, place = np.unique(key, return_inverse=True)
-        c = np.zeros(len(h), np.int64)
-        c[seen] = m.pairs.find(pairs)[1][place]
-        has = context_count[before] > 0
-        p = lower[back].copy()
-        b = before[has]
-        p[has] = (np.maximum(c[has] - np.array([0.0, *m.discounts])[np.minimum(c[has], 3)], 0) + rest[b] * p[has]) / context_count[b]
-        return np.log10(p), np.log10((counts[back] + 1.0) / (m.n_tokens + v + 1)), counts[back] > 0
-
     def run(batches):
         for batch in batches:
             for part in slices(batch, "__t"):
                 h, first = tokens(part.column(part.num_columns - 1))
-                own, base, known = probabilities(h, first)
+                own, base, known = probabilities(model, h, first)
                 at = first[:-1]
                 columns = [np.diff(first), np.add.reduceat(known.astype(np.int64), at), np.full(len(at), model.n_tokens, np.int64), np.add.reduceat(base, at), np.add.reduceat(own, at)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, columns)], [*kept, *names])

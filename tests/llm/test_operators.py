@@ -63,11 +63,6 @@ def test_words_equal_regex():
     assert h[-1] == h[-2] and h[0] == h[1] and len(set(h.tolist())) == len(h) - 2
 
 
-def test_mix_is_a_bijection():
-    x = np.random.default_rng(0).integers(0, 2**63, 1000, dtype=np.uint64)
-    assert (language_model.unmix(_words.mix(x)) == x).all()
-
-
 def test_packed_arrays_come_back(tmp_path):
     a, b = np.arange(5, dtype=np.uint64), np.zeros(0, np.uint32)
     assert [x.tolist() for x in _store.unpack(_store.pack(a, b), np.uint64, np.uint32)] == [a.tolist(), []]
@@ -138,12 +133,16 @@ def test_embeddings_equal_brute_force(spark):
 
 # -- 3 language model ----------------------------------------------------------------------------------------------
 def brute_model(training):
+    """Order three by dictionaries: highest counts, then numbers of distinct words before."""
     tokens = [split(t) + ["\n"] for t in training]
-    uni, pair = Counter(w for t in tokens for w in t), Counter(p for t in tokens for p in zip([" "] + t, t, strict=False))
-    followers, before = defaultdict(list), Counter()
-    for (u, w), c in pair.items():
-        followers[u].append(c)
-        before[w] += 1
+    uni, three = Counter(w for t in tokens for w in t), Counter(g for t in tokens for g in zip([" ", " "] + t, [" "] + t, t, strict=False))
+    two = Counter((v, w) for _, v, w in three)
+    one = Counter(w for _, w in two)
+    after3, after2 = defaultdict(list), defaultdict(list)
+    for (u, v, _), c in three.items():
+        after3[u, v].append(c)
+    for (v, _), c in two.items():
+        after2[v].append(c)
 
     def discounts(counts):
         n = [sum(c == i for c in counts) for i in (1, 2, 3, 4)]
@@ -152,17 +151,18 @@ def brute_model(training):
         y = n[0] / (n[0] + 2 * n[1])
         return [min(max(i + 1 - (i + 2) * y * n[i + 1] / n[i], 0), i + 1) for i in range(3)]
 
-    d, low = discounts(pair.values()), discounts(before.values())
+    d3, d2, d1 = (discounts(x.values()) for x in (three, two, one))
     cut = lambda ds, c: ds[min(c, 3) - 1] if c else 0.0
-    types, v = len(pair), len(uni)
-    rest = sum(cut(low, c) for c in before.values()) / types if types else 1.0
+    v_size = len(uni)
+    rest = sum(cut(d1, c) for c in one.values()) / len(two) if two else 1.0
+
+    def level(d, count, followers, lower):
+        return (max(count - cut(d, count), 0) + sum(cut(d, c) for c in followers) * lower) / sum(followers) if followers else lower
 
-    def p(u, w):
-        lower = (max(before[w] - cut(low, before[w]), 0) / types if types else 0.0) + rest / (v + 1)
-        if u not in followers:
-            return lower
-        total = sum(followers[u])
-        return (max(pair[u, w] - cut(d, pair[u, w]), 0) + sum(cut(d, c) for c in followers[u]) * lower) / total
+    def p(u, v, w):
+        lowest = (max(one[w] - cut(d1, one[w]), 0) / len(two) if two else 0.0) + rest / (v_size + 1)
+        middle = level(d2, two[v, w], after2.get(v), lowest)
+        return level(d3, three[u, v, w], after3.get((u, v)), middle)
 
     return uni, p
 
@@ -182,11 +182,16 @@ def test_language_model_equals_brute_force(spark, small, shard):
     for r in got:
         t = split(r.t) + ["\n"]
         base = sum(math.log10((uni[w] + 1) / (n + v + 1)) for w in t)
-        own = sum(math.log10(cache.setdefault((u, w), 0) or cache.update({(u, w): p(u, w)}) or cache[u, w]) for u, w in zip([" "] + t, t, strict=False))
+        own = 0.0
+        for g in zip([" ", " "] + t, [" "] + t, t, strict=False):
+            if g not in cache:
+                cache[g] = p(*g)
+            own += math.log10(cache[g])
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(uni[w] > 0 for w in t), n)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(own)
-    word = split(rows[0][1])[0]
-    assert sum(p(word, w) for w in uni) + p(word, "never seen") == pytest.approx(1)
+    a, b = next((t[0], t[1]) for r in rows if not r[2] and len(t := split(r[1])) > 2)
+    for u, w in ((a, b), (" ", " "), (" ", a), ("never", b), ("never", "ever")):
+        assert sum(p(u, w, x) for x in uni) + p(u, w, "never seen") == pytest.approx(1)
 
 
 def test_language_model_without_training(spark):
