@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import functools
 import hashlib
 import re
 import unicodedata
@@ -48,17 +49,38 @@ def safe_stem(stem: str) -> str:
     return f"t_{out}" if out[0].isdigit() else out
 
 
+#: Letters that become two or three; all others that fold become one, by the rule of ``_plain_letters``.
+LIGATURES = {"ß": "ss", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+
+
+@functools.cache
+def _plain_letters() -> tuple[str, str]:
+    """Lower-case letters and digits of the basic plane whose compatibility form, without marks, is one other character, and those."""
+    pairs = []
+    for i in range(0x80, 0x10000):
+        c = chr(i)
+        plain = "".join(x for x in unicodedata.normalize("NFKD", c) if unicodedata.category(x)[0] != "M").lower()
+        if len(plain) == 1 and plain != c and unicodedata.category(c)[0] in "LN" and c.lower() == c:
+            pairs.append((c, plain))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
 def fold(value: object) -> str:
-    """Case, accents, punctuation and padding removed; words and their order stay."""
-    text = unicodedata.normalize("NFKD", "" if value is None else str(value))
-    text = "".join(c for c in text if not unicodedata.combining(c)).casefold()
-    return " ".join(re.sub(r"[^0-9a-z]+" if text.isascii() else r"[\W_]+", " ", text).split())
+    """Case, accents, punctuation and padding removed; words and their order stay. The same rule as ``folded``."""
+    text = ("" if value is None else str(value)).lower()
+    for a, b in LIGATURES.items():
+        text = text.replace(a, b)
+    text = text.translate(str.maketrans(*_plain_letters()))
+    kept = ((c, unicodedata.category(c)[0]) for c in text)
+    return " ".join("".join(c if k in "LN" else " " for c, k in kept if k != "M").split())
 
 
 def folded(c: Column) -> Column:
-    """``fold`` for text whose accents are Latin, as an expression that stays in the JVM."""
-    accents = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    low = F.translate(F.replace(F.lower(c.cast("string")), F.lit("ß"), F.lit("ss")), *accents)
+    """``fold`` as an expression that stays in the JVM: one table of single letters, a few ligatures, then marks and punctuation go."""
+    low = F.lower(c.cast("string"))
+    for a, b in LIGATURES.items():
+        low = F.replace(low, F.lit(a), F.lit(b))
+    low = F.regexp_replace(F.translate(low, *_plain_letters()), r"\p{M}+", "")
     return F.trim(F.regexp_replace(low, r"[^\p{L}\p{N}]+", " "))
 
 

@@ -78,22 +78,28 @@ def promote(lake: Lake, pipe: Pipeline, run_id: str | None = None) -> PromoteRec
     spark, run_id = lake.spark, run_id or uuid.uuid4().hex
     frames = [lake.read(s) for s in pipe.sources]
     dims = {c.allowed_from: lake.read(c.allowed_from) for c in pipe.columns.values() if c.allowed_from and lake.exists(c.allowed_from)}
-    source_rows = frames[0].count()
+    source_rows = frames[0].count()  # from the files' footers
     stage = f"quarantine._stage_{run_id}"
     lake.write(stage, staged(joined_sources(frames, pipe.join_on), pipe, dims))
     rows = lake.read(stage)
-    rates = [F.avg(F.col(quote(c)).isNotNull().cast("double")).alias(f"r{i}") for i, c in enumerate(pipe.not_null_rates)]
-    by_reason = {r._fail_reason: r.n for r in rows.groupBy("_fail_reason").agg(F.count("*").alias("n")).collect()}
-    measured = rows.agg(F.count("*").alias("n"), *rates).first()
-    passed, total = by_reason.pop(None, 0), measured.n
-    expectations = {c: (measured[f"r{i}"] or 0.0) >= least for i, (c, least) in enumerate(pipe.not_null_rates.items())}
+    rates = [F.count(F.col(quote(c))).alias(f"r{i}") for i, c in enumerate(pipe.not_null_rates)]
+    found = rows.groupBy("_fail_reason").agg(F.count("*").alias("n"), *rates).collect()
+    by_reason, total = {r._fail_reason: r.n for r in found}, sum(r.n for r in found)
+    passed = by_reason.pop(None, 0)
+    expectations = {c: (sum(r[f"r{i}"] for r in found) / total if total else 0.0) >= least for i, (c, least) in enumerate(pipe.not_null_rates.items())}
 
     lineage = [c for c in ("_src", "_ingest_id") if c in rows.columns]
     good = rows.where("_fail_reason is null").select(*[F.col(quote(n)).try_cast(spark_type(c.type)).alias(n) for n, c in pipe.columns.items()], *lineage, F.lit(run_id).alias("_run_id"))
-    lake.write(pipe.target, upsert(lake.read(pipe.target) if lake.exists(pipe.target) else None, good, pipe.dedup_key))
+    if pipe.dedup_key:
+        lake.upsert(pipe.target, good, pipe.dedup_key)
+    else:
+        lake.write(pipe.target, good)
     quarantine = f"quarantine.{pipe.target.split('.')[1]}"
     bad = rows.where("_fail_reason is not null").select(*[F.col(quote(n)).cast("string").alias(n) for n in pipe.columns], *lineage, F.col("_failing_column").alias("failing_column"), F.col("_fail_reason").alias("reason"), F.lit(run_id).alias("run_id"))
-    lake.write(quarantine, upsert(lake.read(quarantine) if lake.exists(quarantine) else None, bad, pipe.dedup_key) if lake.exists(quarantine) and pipe.dedup_key else (lake.read(quarantine).unionByName(bad, allowMissingColumns=True) if lake.exists(quarantine) else bad))
+    if pipe.dedup_key:
+        lake.upsert(quarantine, bad, pipe.dedup_key)
+    else:
+        lake.append(quarantine, bad)
     receipt = PromoteReceipt(run_id, pipe.target, source_rows, passed, sum(by_reason.values()), source_rows - total, by_reason, expectations, source_rows != total)
     _keep(spark, lake, receipt)
     return receipt

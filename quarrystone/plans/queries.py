@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import binding, pii, retrieval, scalar
 from ..operators import contracts, promote
 from ..sources import bronze, lake
+from ..sources.lake import shared_folder
 from ..streaming import incremental
 from . import governance
 from .model import OBJECTS, money, revenue, sales, table
@@ -322,24 +323,15 @@ def scalar_guards_and_hash(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", scalar.ratio(F.col("l_extendedprice"), F.col("l_discount")).isNull().alias("undefined"), F.sha2(F.col("l_partkey").cast("string"), 256).alias("digest"))
 
 
-@query("SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(substr(text, 1, 60))), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM documents")
-def scalar_folding(spark, d):
-    return table(spark, d, "documents").select("doc_id", scalar.folded(F.substring("text", 1, 60)).alias("folded"))
-
-
 @query("SELECT doc_id, trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS folded FROM documents")
-def scalar_folding_texts(spark, d):
+def scalar_folding(spark, d):
     return table(spark, d, "documents").select("doc_id", scalar.folded(F.col("text")).alias("folded"))
 
 
 # -- incremental ---------------------------------------------------------------------------------------------------
 @query("SELECT event_type, COUNT(*) AS n, MIN(event_id) AS first_id, MAX(event_id) AS last_id FROM events GROUP BY 1")
 def incremental_drain(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        import tempfile
-
-        base = tempfile.mkdtemp(prefix="quarrystone-")
+    base = shared_folder(spark)
     spec = incremental.SourceSpec("events", lambda: table(spark, d, "events"), ("event_id",), "ts")
     ledger = incremental.Ledger(spark, f"{base.rstrip('/')}/ledger-{uuid.uuid4().hex}")
     total = table(spark, d, "events").count()

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import csv
 import hashlib
-import io
 import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
@@ -19,6 +17,8 @@ from .lake import Lake
 REGISTRY = "bronze._ingest_registry"
 REGISTRY_SCHEMA = "table_name string, filename string, sha256 string, ingest_id string, row_count long, truncated boolean, extracted_at timestamp, source_kind string, untyped_numeric array<string>, space_id string"
 DEFAULT_MAX_ROWS = 500_000
+#: A cap from which on a source is read whole, in as many tasks as it has partitions.
+UNCAPPED = 1 << 62
 #: Source catalog types and what a proven column becomes; zoned times stay text.
 SOURCE_TYPES = {
     "int": "int", "integer": "int", "smallint": "int", "tinyint": "int", "mediumint": "int", "bigint": "bigint", "bit": "boolean",
@@ -52,7 +52,8 @@ def _register(lake: Lake, row: dict) -> None:
 def claim_name(lake: Lake, stem: str, filename: str) -> str:
     """A free table name: the same file keeps its own, another file whose name folds to the same gets a suffix."""
     base, n = safe_stem(stem), 1
-    taken = {r.table_name: r.filename for r in registry(lake).select("table_name", "filename").collect()}
+    near = registry(lake).where(F.col("table_name").rlike(rf"^bronze\.{base}(_\d+)?$"))  # only names that could collide come to the driver
+    taken = {r.table_name: r.filename for r in near.select("table_name", "filename").collect()}
     while True:
         name = f"bronze.{base}" if n == 1 else f"bronze.{base}_{n}"
         if taken.get(name, filename) == filename and (name in taken or not lake.exists(name)):
@@ -81,35 +82,39 @@ def with_provenance(df: DataFrame, row_number: Column, ref_id: str, ingest_id: s
 def ingest_csv(lake: Lake, filename: str, data: bytes, ref_id: str | None = None, space_id: str | None = None) -> IngestReceipt:
     """Land one CSV upload with inferred types; empty or binary content is quarantined with a reason.
 
-    The upload is one file held in memory, as it came over the wire; types are inferred from all rows by Spark. Rows carry
-    their number in the file, given before anything is shuffled.
+    The bytes, as they came over the wire, are put into the lake's folder and read by Spark's reader; types are inferred from all
+    rows. Rows carry their number in the file: record numbers come from their place, before anything is shuffled.
     """
-    spark, ingest_id = lake.spark, uuid.uuid4().hex
-    digest = hashlib.sha256(data).hexdigest()
-    reason, text = None, ""
-    if not data.strip():
-        reason = "empty_file"
-    elif b"\0" in data:
-        reason = "not_csv"
-    else:
-        try:
-            text = data.decode("utf-8-sig").replace("\r\n", "\n").replace("\r", "\n")
-        except UnicodeDecodeError:
-            reason = "not_utf8"
-    grid = [] if reason else [r for r in csv.reader(io.StringIO(text)) if r]
-    if not reason and not grid:
-        reason = "empty_file"
+    ingest_id, digest = uuid.uuid4().hex, hashlib.sha256(data).hexdigest()
+    reason = "empty_file" if not data.strip() else "not_csv" if b"\0" in data else None
+    try:
+        text = "" if reason else data.decode("utf-8-sig")
+    except UnicodeDecodeError:
+        reason = "not_utf8"
     if reason:
         return IngestReceipt(None, ingest_id, quarantine_reason=reason)
-    columns = distinct_columns([c.strip() for c in grid[0]])
-    width = len(columns)
-    rows = [(i, *[(r[j] if r[j] != "" else None) if j < len(r) else None for j in range(width)]) for i, r in enumerate(grid[1:], 1)]
-    schema = StructType([StructField("__row", StringType())] + [StructField(c, StringType()) for c in columns])
-    df = spark.createDataFrame([(str(r[0]), *r[1:]) for r in rows], schema)
-    df = inferred(df, columns)
+    path = lake.put(f"uploads/{ingest_id}.csv", text.replace("\r\n", "\n").replace("\r", "\n").encode())
+    return ingest_csv_file(lake, filename, path, ref_id or digest, digest, ingest_id, space_id)
+
+
+def ingest_csv_file(lake: Lake, filename: str, path: str, ref_id: str, digest: str | None = None, ingest_id: str | None = None, space_id: str | None = None) -> IngestReceipt:
+    """Land a CSV file, of any size, that executors can read at ``path``: UTF-8, the first record holds the names, quoted fields may hold line ends."""
+    spark, ingest_id = lake.spark, ingest_id or uuid.uuid4().hex
+    reader = spark.read.option("multiLine", True).option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("emptyValue", "").option("nullValue", "")
+    first = reader.csv(path).limit(1).collect()
+    if not first:
+        return IngestReceipt(None, ingest_id, quarantine_reason="empty_file")
+    columns = distinct_columns([(c or "").strip() for c in first[0]])
+    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(columns))])
+    raw = reader.schema(schema).csv(path)
+    # one file is one partition under multiLine, and its ids follow the records: 0 is the record of names
+    rows = raw.select(F.monotonically_increasing_id().alias("__row"), *raw.columns).where("__row > 0")
+    rows = rows.select("__row", *[F.when(F.col(f"c{i}") != "", F.col(f"c{i}")).alias(c) for i, c in enumerate(columns)])
+    staged = f"quarantine._upload_{ingest_id}"
+    lake.write(staged, rows)
     table = claim_name(lake, filename.rsplit("/", 1)[-1].rsplit(".", 1)[0], filename)
-    df = with_provenance(df, F.col("__row"), ref_id or digest, ingest_id).drop("__row")
-    lake.write(table, df)
+    df = inferred(lake.read(staged), columns)
+    lake.write(table, with_provenance(df, F.col("__row"), ref_id, ingest_id).drop("__row"))
     n = lake.read(table).count()
     _register(lake, {"table_name": table, "filename": filename, "sha256": digest, "ingest_id": ingest_id, "row_count": n, "truncated": False, "extracted_at": datetime.now(timezone.utc), "source_kind": "file", "untyped_numeric": [], "space_id": space_id})
     return IngestReceipt(table, ingest_id, n, tuple(columns))
@@ -192,17 +197,26 @@ def type_columns(df: DataFrame, declared: dict[str, str]) -> tuple[DataFrame, di
     return df.withColumns({c: F.col(quote(c)).try_cast(k) for c, k in given.items()}) if given else df, given, left, numeric
 
 
-def capped(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, bool]:
-    """At most ``max_rows`` rows and whether there were more; one row too many is asked for to know."""
-    more = df.limit(max_rows + 1)
-    return df.limit(max_rows), more.count() > max_rows
+def capped(lake: Lake, table: str, df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> tuple[DataFrame, bool]:
+    """At most ``max_rows`` rows and whether there were more; one row too many is asked for to know.
+
+    What the source gives is landed once under ``table`` and read from there: asked again, it may give other rows. Rows are numbered
+    by range and the last number beyond the cap goes, so no task sees all.
+    """
+    lake.write(table, df.limit(max_rows + 1) if max_rows < UNCAPPED else df)
+    rows = lake.read(table)
+    truncated = rows.count() > max_rows
+    return (rows.limit(max_rows) if truncated else rows), truncated
 
 
 def ingest_source(lake: Lake, name: str, df: DataFrame, declared: dict[str, str], order: list[str], max_rows: int = DEFAULT_MAX_ROWS, space_id: str | None = None) -> IngestReceipt:
     """Pull one SQL source table: capped, landed as text with provenance, then typed by proof."""
     ingest_id = uuid.uuid4().hex
-    rows, truncated = capped(df, max_rows)
     table = claim_name(lake, name, name)
+    rows, truncated = capped(lake, f"quarantine._pull_{ingest_id}", df, max_rows)
+    if truncated:  # the cut is made once, too
+        lake.write(f"quarantine._pull_{ingest_id}", rows)
+        rows = lake.read(f"quarantine._pull_{ingest_id}")
     write_rows(lake, table, rows.columns, numbered(rows, order or rows.columns), name, ingest_id)
     typed, _, _, untyped = type_columns(lake.read(table), declared)
     lake.write(table, typed)
@@ -213,5 +227,5 @@ def ingest_source(lake: Lake, name: str, df: DataFrame, declared: dict[str, str]
 
 def stamp_watermarks(lake: Lake, df: DataFrame) -> DataFrame:
     """Add when each contributing ingest was extracted, the oldest first: rows name it by ``_ingest_id``."""
-    known = registry(lake).select(F.col("ingest_id").alias("_ingest_id"), F.col("extracted_at").alias("source_watermark"))
-    return df.join(F.broadcast(known.limit(1_000_000)), "_ingest_id", "left")
+    known = registry(lake).groupBy(F.col("ingest_id").alias("_ingest_id")).agg(F.min("extracted_at").alias("source_watermark"))
+    return df.join(known, "_ingest_id", "left")

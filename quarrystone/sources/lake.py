@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -17,11 +18,29 @@ from ..plans.ontology import key_profile, orphans
 SCHEMAS = ("bronze", "silver", "gold", "quarantine", "dim")
 
 
+#: Parts of a table beyond which an append writes them as one.
+MAX_PARTS = 256
+#: Buckets of a table that is upserted by key.
+BUCKETS = 64
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session, as in tests, may do without the setting."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
+        base = tempfile.mkdtemp(prefix="quarrystone-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 class Lake:
-    """Tables are folders ``root/schema/table/v-<id>``; a pointer file names the version that readers see.
+    """Tables are folders ``root/schema/table/v-<id>``; a pointer file names the parts that readers see.
 
-    A write goes to a new version and is published by replacing the pointer, so readers see all of it or none, and a
-    failed or repeated job leaves the old version in place. Paths go through Spark's file systems.
+    A write goes to a new folder and is published by replacing the pointer, so readers see all of it or none, and a
+    failed or repeated job leaves the old parts in place. An append adds a part and reads nothing; an upsert rewrites the buckets
+    that hold keys of the batch; ``vacuum`` deletes folders that no pointer names. Paths go through Spark's file systems.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -36,13 +55,13 @@ class Lake:
             raise ValueError(f"{table!r} is not schema.table with a schema of {', '.join(SCHEMAS)}")
         return f"{self.root}/{schema}/{name}"
 
-    def _pointer(self, table: str) -> str | None:
+    def _pointer(self, table: str) -> list[str] | None:
         p = self._path(f"{self._folder(table)}/CURRENT")
         if not self._fs.exists(p):
             return None
         stream = self._fs.open(p)
         try:
-            return bytes(stream.readAllBytes()).decode().strip()
+            return bytes(stream.readAllBytes()).decode().split()
         finally:
             stream.close()
 
@@ -50,18 +69,23 @@ class Lake:
         return self._pointer(table) is not None
 
     def read(self, table: str) -> DataFrame:
-        version = self._pointer(table)
-        if version is None:
+        parts = self._pointer(table)
+        if parts is None:
             raise FileNotFoundError(table)
-        return self.spark.read.parquet(f"{self._folder(table)}/{version}")
+        reader = self.spark.read.option("mergeSchema", len({p.split("/")[0] for p in parts}) > 1)
+        return reader.parquet(*[f"{self._folder(table)}/{p}" for p in parts])
 
     def write(self, table: str, df: DataFrame) -> None:
         """Replace the table's content in one step; ``df`` may read the old version."""
-        folder, version = self._folder(table), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{folder}/{version}")
-        part = self._path(f"{folder}/.CURRENT-{version}")
+        version = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self._folder(table)}/{version}")
+        self._publish(table, [version])
+
+    def _publish(self, table: str, parts: list[str]) -> None:
+        folder = self._folder(table)
+        part = self._path(f"{folder}/.CURRENT-{uuid.uuid4().hex}")
         out = self._fs.create(part, True)
-        out.write(version.encode())
+        out.write("\n".join(parts).encode())
         out.close()
         self._replace(part, self._path(f"{folder}/CURRENT"))
 
@@ -75,7 +99,65 @@ class Lake:
         files.rename(self._fs.makeQualified(part), self._fs.makeQualified(target), options)
 
     def append(self, table: str, df: DataFrame) -> None:
-        self.write(table, self.read(table).unionByName(df, allowMissingColumns=True) if self.exists(table) else df)
+        """Add a part; missing columns are null. Types of columns that both have must be the same."""
+        parts = self._pointer(table) or []
+        if parts:
+            old = dict(self.read(table).dtypes)
+            if clash := [c for c, t in df.dtypes if old.get(c, t) != t]:
+                raise ValueError(f"{table}: other types for {', '.join(clash)}")
+        if len(parts) >= MAX_PARTS:
+            self.write(table, self.read(table).unionByName(df, allowMissingColumns=True))
+            return
+        version = f"v-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self._folder(table)}/{version}")
+        self._publish(table, [*parts, version])
+
+    def upsert(self, table: str, df: DataFrame, key: tuple[str, ...], buckets: int = BUCKETS) -> None:
+        """Replace the rows whose key is in ``df`` by its rows; null keys match nothing and repeats in ``df`` stay.
+
+        The table lies in buckets by the hash of the key, and only buckets that hold a key of ``df`` are read and written anew. A table
+        written otherwise is put into buckets once. ``df`` is read more than once, so it should be stored.
+        """
+        parts, version = self._pointer(table) or [], f"v-{uuid.uuid4().hex}"
+        columns = [F.col(quote(k)) for k in key]
+        bucket = F.pmod(F.hash(*[c.cast("string") for c in columns], F.lit(len(key))), F.lit(buckets))
+        new = df.withColumn("__bucket", bucket)
+        if parts and all("/__bucket=" in p for p in parts):
+            touched = {r[0] for r in new.select("__bucket").distinct().collect()}
+            stale = [p for p in parts if int(p.rpartition("=")[2]) in touched]
+            kept = [p for p in parts if p not in set(stale)]
+        else:
+            stale, kept = parts, []
+        if stale:
+            old = self.spark.read.option("mergeSchema", True).parquet(*[f"{self._folder(table)}/{p}" for p in stale]).withColumn("__bucket", bucket)
+            old = old.join(df.select(*columns).distinct(), list(key), "left_anti").select(*old.columns)
+            new = old.unionByName(new, allowMissingColumns=True)
+        folder = f"{self._folder(table)}/{version}"
+        new.repartition("__bucket").write.partitionBy("__bucket").parquet(folder)
+        found = sorted(x.getPath().getName() for x in self._fs.listStatus(self._path(folder)) if x.getPath().getName().startswith("__bucket="))
+        if not found and not kept:
+            self.write(table, df)
+            return
+        self._publish(table, kept + [f"{version}/{x}" for x in found])
+
+    def vacuum(self, table: str) -> int:
+        """Delete version folders of a table that its pointer does not name; returns how many. No reader may be on an old one."""
+        live = {p.split("/")[0] for p in self._pointer(table) or []}
+        old = [x.getPath() for x in self._fs.listStatus(self._path(self._folder(table))) if x.getPath().getName().startswith("v-") and x.getPath().getName() not in live]
+        for p in old:
+            self._fs.delete(p, True)
+        return len(old)
+
+    def put(self, name: str, data: bytes) -> str:
+        """Keep an upload's bytes in the lake's folder, where executors read them; returns the path."""
+        path = f"{self.root}/{name}"
+        out = self._fs.create(self._path(path), True)
+        try:
+            for at in range(0, len(data), 1 << 22):
+                out.write(data[at : at + (1 << 22)])
+        finally:
+            out.close()
+        return path
 
     def tables(self, schema: str | None = None) -> list[str]:
         out = []

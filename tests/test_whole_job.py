@@ -14,14 +14,14 @@ def test_folding_reads_texts_to_their_end(spark, tmp_path):
     tail = "Straße, ÉTÉ -- déjà; Ñandú!"
     texts = [(1, "word " * 40 + tail), (2, "x" * 20000 + " " + tail), (3, tail), (4, None), (5, "")]
     spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.folded for r in queries.QUERIES["scalar_folding_texts"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.folded for r in queries.QUERIES["scalar_folding"](spark, str(tmp_path)).collect()}
     assert got == {i: None if t is None else scalar.fold(t) for i, t in texts}
     assert got[2].endswith(" strasse ete deja nandu")
 
 
 def test_folding_equals_brute_force_on_documents(spark, small):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
-    got = {r.doc_id: r.folded for r in queries.QUERIES["scalar_folding_texts"](spark, small).collect()}
+    got = {r.doc_id: r.folded for r in queries.QUERIES["scalar_folding"](spark, small).collect()}
     assert got == {i: scalar.fold(t) for i, t in texts.items()}
 
 
