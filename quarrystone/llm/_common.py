@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_path(spark: SparkSession, tag: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; where that is unset (tests), a temporary folder is set first."""
+    """A fresh folder under ``spark.checkpoint.dir``; a local session, as in tests, may do without, a cluster may not."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir names no folder that the cluster shares")
         base = tempfile.mkdtemp(prefix="quarrystone-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
