@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import governance
-from .model import sales
+import re
+
+from . import definitions, governance, verdict
+from .model import sales, table
+from .outcomes import Refusal
 from .queries import _views, query
+from .tree import analyzed
 
 
 def _outcomes(spark, found: list[tuple[str, object]]):
@@ -90,3 +94,129 @@ GENERATORS = {
 @query(values(**{k: "pass" if k.startswith("stored") else "path_not_allowed" for k in GENERATORS}))
 def governance_generators(spark, d):
     return _outcomes(spark, [(k, _why(governance.gate(spark, s, {"orders"}))) for k, s in GENERATORS.items()])
+
+
+STATED = {
+    "kept": ("revenue of building clients", "SELECT SUM(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'"),
+    "dropped": ("revenue of building clients", "SELECT SUM(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey"),
+    "other_value": ("revenue of building clients", "SELECT SUM(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'MACHINERY'"),
+    "two_kept": ("building and machinery clients", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"),
+    "one_of_two": ("building and machinery clients", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "by_function": ("building clients", "SELECT COUNT(*) AS n FROM customer WHERE lower(c_mktsegment) = 'building'"),
+    "by_or": ("building clients", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' OR c_acctbal > 0"),
+    "excluded": ("clients except building", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'"),
+    "excluded_kept": ("clients except building", "SELECT COUNT(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "in_having": ("building clients", "SELECT c_mktsegment, COUNT(*) AS n FROM customer GROUP BY c_mktsegment HAVING c_mktsegment = 'BUILDING'"),
+    "in_left_on": ("building clients", "SELECT COUNT(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment = 'BUILDING'"),
+    "other_table": ("balance in nation 3", "SELECT SUM(c_acctbal) AS v FROM customer"),
+    "by_link": ("balance in nation 3", "SELECT SUM(c_acctbal) AS v FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_name = 'NATION_3'"),
+    "no_value": ("revenue by day", "SELECT SUM(o_totalprice) AS v FROM orders"),
+    "nothing_read": ("building", "SELECT 1 AS a"),
+}
+
+
+@query(
+    values(
+        kept="pass", dropped="unhonored_qualifier", other_value="unhonored_qualifier", two_kept="pass", one_of_two="unhonored_qualifier", by_function="pass", by_or="unhonored_qualifier", excluded="pass",
+        excluded_kept="unhonored_qualifier", in_having="pass", in_left_on="unhonored_qualifier", other_table="unhonored_qualifier", by_link="pass", no_value="pass", nothing_read="unhonored_qualifier",
+    )
+)
+def governance_stated_values(spark, d):
+    _views(spark, d, "orders", "customer", "nation")
+    tables = {t: table(spark, d, t).select(*c) for t, c in (("customer", ("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey")), ("nation", ("n_nationkey", "n_name")), ("orders", ("o_orderkey", "o_orderstatus", "o_custkey")))}
+    return _outcomes(spark, [(k, _why(verdict.dropped_stated_value(q, spark.sql(s), tables))) for k, (q, s) in STATED.items()])
+
+
+@query(values(where_1="(c_acctbal > 0.0D)", where_2="(c_mktsegment = 'BUILDING')", having="(sum(c_acctbal) > 1.0D)", filter="(c_nationkey > 3)", none="0"))
+def governance_filter_reasons(spark, d):
+    _views(spark, d, "customer")
+    found = verdict.filter_reasons(analyzed(spark.sql("SELECT c_nationkey, SUM(c_acctbal) FILTER (WHERE c_nationkey > 3) AS a, SUM(c_acctbal) AS v FROM customer WHERE c_acctbal > 0D AND c_mktsegment = 'BUILDING' GROUP BY c_nationkey HAVING v > 1D")))
+    named = {"where": iter(("where_1", "where_2")), "having": iter(("having",)), "filter": iter(("filter",))}
+    out = [(next(named[k]), re.sub(r"#\d+|CAST\((\d+) AS \w+\)", r"\1", t).replace("v >", "sum(c_acctbal) >")) for k, t in found if "IS NOT NULL" not in t]
+    return _outcomes(spark, [*out, ("none", len(verdict.filter_reasons(analyzed(spark.sql("SELECT c_name FROM customer")))))])
+
+
+@query("SELECT 'join' AS kind, 'customer.c_custkey' AS a, 'orders.o_custkey' AS b UNION ALL SELECT 'union', 'customer.c_acctbal', 'orders.o_totalprice' UNION ALL SELECT 'union', 'customer.c_custkey', 'orders.o_custkey'")
+def governance_pairs(spark, d):
+    _views(spark, d, "orders", "customer")
+    joined = governance.join_pairs(spark.sql("SELECT 1 AS a FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey > 3"))
+    united = governance.union_pairs(spark.sql("SELECT o_custkey AS k, o_totalprice AS v FROM orders UNION ALL SELECT c_custkey, c_acctbal AS w FROM customer"))
+    rows = [(kind, *sorted(".".join(x) for x in p)) for kind, pairs in (("join", joined), ("union", united)) for p in pairs]
+    return spark.createDataFrame(rows, "kind string, a string, b string")
+
+
+@query("SELECT o_orderkey, c_custkey, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' ORDER BY o_totalprice DESC, o_orderkey LIMIT 5000")
+def governance_drill_through(spark, d):
+    _views(spark, d, "orders", "customer")
+    rows, _ = governance.drill_through(spark.sql("SELECT c_nationkey, SUM(o_totalprice) AS v FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' GROUP BY c_nationkey"))
+    return rows.select("o_orderkey", "c_custkey", "o_totalprice")
+
+
+@query(values(parsed="3 conjuncts", measure="sum(o_totalprice)", group="o_orderstatus", limit="5", offset="2", open="False", or_is_open="True", dropped="1", tables="customer orders", unknown_table="table_not_granted", unknown_column="sql_error", typed_text="untyped_numeric", typed_number="pass"))
+def governance_grounds(spark, d):
+    _views(spark, d, "orders", "customer")
+    full = governance.parsed(spark, "SELECT o_orderstatus, SUM(o_totalprice) AS v FROM orders WHERE o_orderkey > 1 AND o_custkey > 2 AND o_totalprice > 3 GROUP BY o_orderstatus ORDER BY v LIMIT 5 OFFSET 2")
+    less = governance.parsed(spark, "SELECT o_orderstatus, SUM(o_totalprice) AS v FROM orders WHERE o_orderkey > 1 AND o_custkey > 2 GROUP BY o_orderstatus")
+    g = governance.grounds(full)
+    untyped = {"orders": {"o_totalprice"}}
+    return _outcomes(
+        spark,
+        [
+            ("parsed", f"{len(g.conjuncts)} conjuncts"), ("measure", re.sub(r" AS .*", "", re.sub(r"[`']", "", g.measures[0]), flags=re.I)), ("group", g.groups[0]), ("limit", g.limit), ("offset", g.offset), ("open", g.open_),
+            ("or_is_open", governance.grounds(governance.parsed(spark, "SELECT 1 AS a FROM orders WHERE o_orderkey = 1 OR o_custkey = 2")).open_), ("dropped", len(governance.dropped_conjuncts(full, less))),
+            ("tables", " ".join(sorted(governance.tables_read(spark.sql("SELECT COUNT(*) AS n FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)"))))),
+            ("unknown_table", _why(governance.query(spark, "SELECT a FROM nowhere", {"orders"}))), ("unknown_column", _why(governance.query(spark, "SELECT nope FROM orders", {"orders"}))),
+            ("typed_text", _why(governance.untyped_numeric(spark.sql("SELECT SUM(CAST(o_totalprice AS DOUBLE)) AS v FROM orders"), untyped))), ("typed_number", _why(governance.untyped_numeric(spark.sql("SELECT SUM(o_custkey) AS v FROM orders"), untyped))),
+        ],
+    )
+
+
+@query(values(sum="derived:sum(orders.o_totalprice)", grain="orders", count="pass", broken="unparseable", personal="pii_column", star="select_star", not_granted="table_not_granted", unknown="not_in_ontology", off_link="undeclared_join", unjustified="measure_unjustified", fan="fan_trap", window="measure_unjustified", nested="undeclared_join"))
+def definitions_checked(spark, d):
+    _views(spark, d, "orders", "customer")
+    o, granted = sales(spark, d), {"orders", "customer", "elsewhere"}
+    sql = {
+        "count": "SELECT COUNT(*) AS n FROM orders", "broken": "SELECT FROM WHERE", "personal": "SELECT email FROM orders", "star": "SELECT * FROM orders", "not_granted": "SELECT s_name FROM supplier", "unknown": "SELECT a FROM elsewhere",
+        "off_link": "SELECT COUNT(*) AS n FROM orders JOIN customer ON o_orderkey = c_custkey", "unjustified": "SELECT AVG(o_totalprice) AS v FROM orders", "fan": f"SELECT SUM(c_acctbal) AS v FROM {_PAIR}",
+        "window": "SELECT SUM(o_totalprice) OVER () AS v FROM orders", "nested": f"SELECT MAX(v) AS w FROM (SELECT c_mktsegment, SUM(o_totalprice) AS v FROM {_PAIR} GROUP BY c_mktsegment)",
+    }
+
+    def checked(s):
+        return definitions.validate(spark, s, o, granted, ("sum(orders.o_totalprice)",))
+
+    good = checked(f"SELECT c_mktsegment, SUM(o_totalprice) AS v FROM {_PAIR} GROUP BY c_mktsegment")
+    return _outcomes(spark, [("sum", good.provenance[0]), ("grain", good.grain), *((k, _why(checked(s))) for k, s in sql.items())])
+
+
+# -- statements that pass through ----------------------------------------------------------------------------------
+def passes(name: str, sql: str, *tables: str, duck: str | None = None) -> None:
+    """Register a statement that goes through the gate to Spark, beside the same statement in DuckDB."""
+
+    def run(spark, d):
+        _views(spark, d, *tables)
+        out = governance.query(spark, sql, set(tables))
+        if isinstance(out, Refusal):
+            raise ValueError(f"refused: {out.reason} {out.detail}")
+        return out
+
+    run.__name__ = name
+    query(duck or sql)(run)
+
+
+passes("pass_cube", "SELECT c_mktsegment, c_nationkey, COUNT(*) AS n FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)", "customer")
+passes("pass_rollup", "SELECT o_orderstatus, o_orderpriority, COUNT(*) AS n, GROUPING(o_orderpriority) AS g FROM orders GROUP BY ROLLUP (o_orderstatus, o_orderpriority)", "orders")
+passes("pass_grouping_sets", "SELECT o_orderstatus, o_orderpriority, MAX(o_totalprice) AS v FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", "orders")
+passes("pass_median", "SELECT o_orderstatus, median(o_totalprice) AS m, percentile(o_totalprice, 0.25) AS q FROM orders GROUP BY o_orderstatus", "orders", duck="SELECT o_orderstatus, median(o_totalprice) AS m, quantile_cont(o_totalprice, 0.25) AS q FROM orders GROUP BY o_orderstatus")
+passes("pass_any_value", "SELECT n_nationkey, ANY_VALUE(n_name) AS name FROM nation GROUP BY n_nationkey", "nation")
+passes("pass_avg", "SELECT l_returnflag, ROUND(AVG(CAST(l_quantity AS DECIMAL(18,2))), 3) AS a FROM lineitem GROUP BY l_returnflag", "lineitem")
+passes("pass_lag_lead", "SELECT o_orderkey, LAG(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, LEAD(o_totalprice, 2, 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS after FROM orders", "orders")
+passes("pass_frames", "SELECT o_orderkey, NTILE(4) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS tile, RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS r, DENSE_RANK() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS dr, MAX(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM orders", "orders")
+passes("pass_range_join", "SELECT p_partkey, COUNT(*) AS n FROM part JOIN nation ON p_size BETWEEN n_nationkey AND n_nationkey + 3 GROUP BY p_partkey", "part", "nation")
+passes("pass_full_outer", "SELECT s_suppkey, n_nationkey FROM supplier FULL OUTER JOIN nation ON s_nationkey = n_nationkey AND s_acctbal > 0", "supplier", "nation")
+passes("pass_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation", "region", "nation")
+passes("pass_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", "customer", "supplier")
+passes("pass_null_order", "SELECT x, ROW_NUMBER() OVER (ORDER BY x DESC NULLS LAST) AS r, ROW_NUMBER() OVER (ORDER BY x ASC NULLS FIRST) AS f FROM (SELECT NULLIF(n_nationkey, 3) AS x FROM nation) t", "nation")
+passes("pass_pivot", "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, o_orderkey FROM orders) PIVOT (COUNT(o_orderkey) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "orders", duck="SELECT o_orderpriority, NULLIF(COUNT(*) FILTER (o_orderstatus = 'F'), 0) AS f, NULLIF(COUNT(*) FILTER (o_orderstatus = 'O'), 0) AS o, NULLIF(COUNT(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1")
+passes("pass_lateral", "SELECT c_custkey, t.v FROM customer, LATERAL (SELECT c_acctbal * 2 AS v) t", "customer")
+passes("pass_correlated", "SELECT c_custkey, (SELECT MAX(o_totalprice) FROM orders WHERE o_custkey = c_custkey) AS best FROM customer", "customer", "orders")
+passes("pass_arrays", "SELECT n_nationkey, size(split(n_name, '_')) AS parts, split(n_name, '_')[1] AS number FROM nation", "nation", duck="SELECT n_nationkey, CAST(len(string_split(n_name, '_')) AS INT) AS parts, string_split(n_name, '_')[2] AS number FROM nation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,6 +29,14 @@ class Node:
     ctes: dict[str, Node] = field(default_factory=dict)
     id: int | None = None
     output: tuple[int, ...] = ()
+    #: Of a union, the ids of each input's columns.
+    unions: tuple[tuple[int, ...], ...] = ()
+    jvm: object = field(default=None, repr=False, compare=False)
+
+    def sql(self, column: str | None = None) -> str:
+        """The expression as SQL; with ``column``, the one column that it is about is named without its table."""
+        text = self.jvm.sql()
+        return re.sub(rf"(?:(?:`[^`]+`|\w+)\.)*`?\b{re.escape(column)}\b`?", f"`{column}`", text) if column else re.sub(r"\b\w+\.(?=[A-Za-z_`])", "", text)
 
     def walk(self) -> Iterator[Node]:
         """This node and all below it, subqueries and CTE bodies included."""
@@ -45,7 +54,7 @@ class Node:
 
 def _expression(e) -> Node:
     kind = e.getClass().getSimpleName()
-    out = Node(kind, e.toString(), [_expression(c) for c in _seq(e.children())])
+    out = Node(kind, e.toString(), [_expression(c) for c in _seq(e.children())], jvm=e)
     if kind in ("ScalarSubquery", "ListQuery", "Exists", "LateralSubquery"):
         out.plans.append(_plan(e.plan()))
         if e.plan().resolved():
@@ -73,6 +82,8 @@ def _plan(p) -> Node:
         return out
     out.children = [_plan(c) for c in _seq(p.children())]
     out.expressions = [_expression(e) for e in _seq(p.expressions())]
+    if kind == "Union" and p.resolved():
+        out.unions = tuple(tuple(a.exprId().id() for a in _seq(c.output())) for c in _seq(p.children()))
     if kind == "Generate":
         out.expressions.append(_expression(p.generator()))
     if kind == "UnresolvedRelation":
