@@ -39,14 +39,20 @@ class IngestReceipt:
     untyped_numeric: tuple[str, ...] = field(default=())
 
 
-def registry(lake: Lake) -> DataFrame:
+def ingests(lake: Lake) -> DataFrame:
+    """Every ingest there was, one row each."""
     return lake.read(REGISTRY) if lake.exists(REGISTRY) else lake.spark.createDataFrame([], REGISTRY_SCHEMA)
 
 
+def registry(lake: Lake) -> DataFrame:
+    """The last ingest of each table."""
+    log = ingests(lake)
+    last = log.groupBy("table_name").agg(F.max(F.struct("extracted_at", *[c for c in log.columns if c not in ("table_name", "extracted_at")])).alias("r"))
+    return last.select("table_name", "r.*").select(*log.columns)
+
+
 def _register(lake: Lake, row: dict) -> None:
-    old = registry(lake).where(F.col("table_name") != row["table_name"])
-    new = lake.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in REGISTRY_SCHEMA.split(", "))], REGISTRY_SCHEMA)
-    lake.write(REGISTRY, old.unionByName(new))
+    lake.append(REGISTRY, lake.spark.createDataFrame([tuple(row.get(f.split()[0]) for f in REGISTRY_SCHEMA.split(", "))], REGISTRY_SCHEMA))
 
 
 def claim_name(lake: Lake, stem: str, filename: str) -> str:
@@ -227,5 +233,5 @@ def ingest_source(lake: Lake, name: str, df: DataFrame, declared: dict[str, str]
 
 def stamp_watermarks(lake: Lake, df: DataFrame) -> DataFrame:
     """Add when each contributing ingest was extracted, the oldest first: rows name it by ``_ingest_id``."""
-    known = registry(lake).groupBy(F.col("ingest_id").alias("_ingest_id")).agg(F.min("extracted_at").alias("source_watermark"))
+    known = ingests(lake).groupBy(F.col("ingest_id").alias("_ingest_id")).agg(F.min("extracted_at").alias("source_watermark"))
     return df.join(known, "_ingest_id", "left")
