@@ -560,7 +560,7 @@ TEXTS = {
 }
 
 
-@query(values(email="email", nric="nric", no_nric="account", card="card", no_card="account", mobile="phone", american="phone", landline="phone", account="account", passport="passport", address="address", born="dob", date="-", plain="-"))
+@query(values(email="email", nric="nric", no_nric="-", card="card", no_card="account", mobile="phone", american="phone", landline="phone", account="account", passport="passport", address="address", born="dob", date="-", plain="-"))
 def pii_values(spark, d):
     """The first kind that the masker finds in each text; the same shapes decide in Spark."""
 
