@@ -91,9 +91,9 @@ def _texts(docs: DataFrame, id_col: str, text: str, pairs: DataFrame) -> DataFra
     """(id, packed) of the documents in ``pairs``, and of a few others."""
     spot = F.xxhash64("id").bitwiseAND(F.lit((1 << BITMAP) - 1))
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
-    words = ids.select(spot.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")).collect()
+    words = ids.select(spot.alias("h")).groupBy(F.expr("h div 64").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h % 64 as int))")).alias("bits")).toArrow()
     bitmap = np.zeros(1 << (BITMAP - 6), np.int64)
-    bitmap[[r.w for r in words]] = [r.bits for r in words]
+    bitmap[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     sent = docs.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def run(batches):

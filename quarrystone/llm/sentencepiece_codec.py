@@ -1,33 +1,36 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
-The distinct chunks of a batch (the parts that no piece crosses) are laid end to end and indexed by a suffix array, sorted to the depth of
-the longest piece. Binary search finds every piece's range of occurrences at once; the occurrences, sorted by
-position, are the edges that relaxation follows: for a unigram model the best path by total score, for a BPE model the merges
-in order of score (``relax_bpe``), so ids equal the library's for either kind. Characters outside the vocabulary become
-their UTF-8 bytes with byte fallback, else the unknown piece. Workers remember the ids of chunks they have seen.
+The texts of a batch, BATCH bytes of them, are cut into chunks that no piece crosses; a chunk that comes again is laid down once.
+Laid end to end they are indexed by a suffix array, in order of their first SORTED letters, as few pieces are longer. Binary
+search finds every piece's range of occurrences at once, and what longer pieces have beyond is compared letter by letter. The
+occurrences, sorted by position, are the edges that relaxation follows: for a unigram model the best path by total score, for a
+BPE model the merges in order of score (``relax_bpe``), so ids equal the library's for either kind. Characters outside the
+vocabulary become their UTF-8 bytes with byte fallback, else the unknown piece. Nothing is kept from batch to batch.
 
 Decoding joins pieces and bytes, turns the marks into spaces and drops the space that encoding put first. A text with the mark character
 U+2581 itself comes back with spaces there, as with the library; every other text comes back whole.
 
-Edge cases: a null or empty text has no pieces and decodes to the empty text; a null id list decodes to null.
+Edge cases: a text longer than a batch is a batch of its own; repeated rows and clashing columns change nothing but that a column
+called like an added one is replaced; an empty table stays empty; a null or empty text has no pieces and decodes to the empty text; a null id list decodes to null.
 The model file is read on the driver and its bytes are broadcast; nothing is trained.
 """
 
 from __future__ import annotations
 
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import cache_of, lean, slices, small_batches, with_text
 from ._pieces import BPE, Lattice, Pieces, chunk_text, relax_bpe, relax_unigram
 
-#: Distinct chunks whose ids a worker remembers in each of two generations; what is used again moves to the younger one.
-MEMORY = 300_000
-#: New chunks that are matched at once, and letters that suffixes are sorted by; what longer pieces add is compared after.
+#: Bytes of text that are indexed together.
+BATCH = 4 << 20
+#: Distinct chunks that are matched at once, and letters that suffixes are sorted by; what longer pieces add is compared after.
 CHUNKS = 32_000
 SORTED = 8
 
@@ -101,12 +104,6 @@ class Matcher:
         return start[by], piece[by]
 
 
-def found(table: dict[str, int], keys: list[str]) -> tuple[np.ndarray, list[int]]:
-    """The value of each key, -1 where there is none, and the places of those."""
-    out = np.fromiter(map(table.get, keys, repeat(-1)), np.int64, len(keys))
-    return out, np.flatnonzero(out < 0).tolist()
-
-
 def gathered(pool: np.ndarray, first: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs pool[first[i]:first[i + 1]] for i in ``at``, one after the other, and their offsets."""
     n = first[at + 1] - first[at]
@@ -118,20 +115,6 @@ class Codec:
     def __init__(self, model: bytes):
         self.pieces = Pieces(model)
         self.matcher = Matcher(self.pieces)
-        self.forget()
-        self.forget()
-
-    def forget(self) -> None:
-        """Make the younger generation the older one."""
-        self.old = (self.place, self.pool, self.first) if hasattr(self, "place") else ({}, np.zeros(0, np.int32), np.zeros(1, np.int64))
-        self.place: dict[str, int] = {}
-        self.pool = np.zeros(0, np.int32)
-        self.first = np.zeros(1, np.int64)
-
-    def remember(self, keys: list[str], ids: np.ndarray, first: np.ndarray) -> None:
-        self.place.update(zip(keys, range(len(self.place), len(self.place) + len(keys)), strict=True))
-        self.first = np.concatenate([self.first, first[1:] + len(self.pool)])
-        self.pool = np.concatenate([self.pool, ids])
 
     def chunk_ids(self, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, one after the other, and their offsets."""
@@ -171,23 +154,15 @@ class Codec:
         return out.astype(np.int32), np.concatenate([[0], np.cumsum(np.bincount(of, n, len(keys)))]).astype(np.int64)
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and their offsets."""
+        """Ids of all texts, one after the other, and their offsets: the distinct chunks of the texts are indexed and relaxed, CHUNKS at once."""
         parts = [self.pieces.chunks(t or "") for t in texts]
         flat = list(chain.from_iterable(parts))
-        at, lost = found(self.place, flat)
-        new = list({flat[i] for i in lost})
-        if len(self.place) + len(new) > MEMORY:
-            self.forget()
-            lost, new = range(len(flat)), list(set(flat))
-        place, pool, starts = self.old
-        if moved := [k for k in new if k in place]:
-            self.remember(moved, *gathered(pool, starts, found(place, moved)[0]))
-            new = [k for k in new if k not in place]
-        for i in range(0, len(new), CHUNKS):
-            keys = new[i : i + CHUNKS]
-            self.remember(keys, *self.chunk_ids(keys))
-        at[lost] = found(self.place, [flat[i] for i in lost])[0]
-        out, total = gathered(self.pool, self.first, at)
+        keys = list(dict.fromkeys(flat))
+        made = [self.chunk_ids(keys[i : i + CHUNKS]) for i in range(0, len(keys), CHUNKS)]
+        pool = np.concatenate([ids for ids, _ in made]) if made else np.zeros(0, np.int32)
+        first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f in made]))]).astype(np.int64) if made else np.zeros(1, np.int64)
+        place = dict(zip(keys, range(len(keys)), strict=True))
+        out, total = gathered(pool, first, np.fromiter(map(place.__getitem__, flat), np.int64, len(flat)))
         bounds = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         return out, total[bounds]
 
@@ -204,6 +179,21 @@ def _sent(df: DataFrame, model_file: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _bundles(batches, at: int):
+    """Runs of rows, of BATCH bytes of text or one longer text, that are indexed together."""
+    held, size = [], 0
+    for batch in batches:
+        for part in slices(batch, at):
+            n = pc.sum(pc.binary_length(part.column(at))).as_py() or 0
+            if held and size + n > BATCH:
+                yield held
+                held, size = [], 0
+            held.append(part)
+            size += n
+    if held:
+        yield held
+
+
 def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids", round_trip: str | None = None, keep_text: bool = True) -> DataFrame:
     """Add the piece ids ``to`` (array of int) to every row of ``docs``; a column of that name is replaced.
 
@@ -215,13 +205,16 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", to: str = "ids"
 
     def run(batches):
         codec = _codec(sent.value)
-        for batch in batches:
-            for part in slices(batch, at):
-                texts = part.column(at).to_pylist()
-                ids, first = codec.encode(texts)
-                out = [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))]
+        for held in _bundles(batches, at):
+            texts = [t for part in held for t in part.column(at).to_pylist()]
+            ids, first = codec.encode(texts)
+            row = 0
+            for part in held:
+                own, text = first[row : row + part.num_rows + 1], texts[row : row + part.num_rows]
+                row += part.num_rows
+                out = [*part.columns[: len(kept)], pa.ListArray.from_arrays(pa.array((own - own[0]).astype(np.int32)), pa.array(ids[own[0] : own[-1]]))]
                 if round_trip:
-                    out.append(pa.array([codec.pieces.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(first[:-1], first[1:], texts, strict=True)], pa.bool_()))
+                    out.append(pa.array([codec.pieces.decode(ids[a:b].tolist()) == (t or "") for a, b, t in zip(own[:-1], own[1:], text, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays(out, [*kept, *added])
 
     schema = rows.select(*kept).withColumn(to, F.lit(None).cast("array<int>"))

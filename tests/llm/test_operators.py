@@ -247,12 +247,11 @@ def test_unigram_paths_and_counts_equal_the_library():
 
 
 @needs_model
-def test_forgetting_chunks_changes_nothing(monkeypatch):
+def test_batches_and_forgotten_chunks_change_nothing(monkeypatch):
     data = open(MODEL, "rb").read()
     texts = odd_texts(60) * 2
     want, first = sentencepiece_codec.Codec(data).encode(texts)
     counts = token_count.Counter(data).counts(texts)
-    monkeypatch.setattr(sentencepiece_codec, "MEMORY", 40)
     monkeypatch.setattr(sentencepiece_codec, "CHUNKS", 7)
     monkeypatch.setattr(token_count, "MEMORY", 40)
     codec, counter = sentencepiece_codec.Codec(data), token_count.Counter(data)
