@@ -11,7 +11,8 @@ the slot, ``mix_position`` = slot * block_rows + place in the block orders the w
 sources have run out).
 
 Rows are numbered without gathering a source: each source is cut into ranges of the hash, up to 2**16 and of about
-``range_rows`` rows, and numbers come from the counts of the ranges before.
+``range_rows`` rows, and numbers come from the counts of the ranges before. Where an id (or a null one) holds far more rows than a
+range, its range is cut by a hash of the whole row; only rows that are equal in all columns stay together.
 
 Edge cases: a null source is a source of its own (named by None in ``weights``, last in order); sources not in ``weights``
 get ``default_weight``; a weight must be positive. Rows with equal ids are numbered by a hash of their other columns
@@ -31,7 +32,10 @@ from pyspark.sql import functions as F
 SLOTS = 1000
 BLOCK_ROWS = 64
 RANGE_ROWS = 256
-MAX_SOURCES = 1000
+#: What the driver can hold of sources and their quotas; the schedule itself has no such bound.
+MAX_SOURCES = 1_000_000
+#: A range with so many times its rows is cut further, by this many bits of a hash of the whole row.
+OVER, TIE_BITS = 16, 12
 #: Periods up to this many slots are laid out by a SQL aggregate; of longer ones only the slots that the rows need, on the driver.
 LONGEST = 2000
 
@@ -115,12 +119,22 @@ def mix(df: DataFrame, weights: dict | None = None, source: str = "source", id_c
     rows = df.join(F.broadcast(plan), df[source].eqNullSafe(plan["__s"])).drop("__s")
     rows = rows.withColumn("__h", F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")))
     rows = rows.withColumn("__r", F.expr("shiftrightunsigned(cast(conv(substring(__h, 1, 8), 16, 10) as bigint), 32 - __b)"))
-    counts = rows.groupBy("__i", "__r").agg(F.count("*").alias("__n"))
-    before = Window.partitionBy("__i").orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("__i", "__r", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
     rows = rows.withColumn("__tie", F.xxhash64(*own))
-    nth = F.row_number().over(Window.partitionBy("__i", "__r").orderBy("__h", F.col(id_col), "__tie")) - 1
-    rows = rows.withColumn("__k", nth).join(offsets, ["__i", "__r"]).withColumn("__k", F.col("__k") + F.col("__before"))
+    # a range far over its size holds an id many times: it is cut further, by id and the top bits of the tie, in the same order
+    sized = F.greatest(F.lit(range_rows), F.col("count") / F.pow(F.lit(2), F.col("__b")))
+    over = rows.groupBy("__i", "__r").agg(F.count("*").alias("__n"))
+    expected = spark.createDataFrame([(i, r["count"], b) for i, (r, b) in enumerate(zip(found, bits, strict=True))], "__i int, count long, __b int")
+    over = over.join(F.broadcast(expected), "__i").where(F.col("__n") > OVER * sized).select("__i", "__r", F.lit(True).alias("__over"))
+    rows = rows.join(over, ["__i", "__r"], "left")
+    cut = F.struct("__h", F.col(id_col).alias("id"), F.shiftright("__tie", 64 - TIE_BITS).alias("t"))
+    rows = rows.withColumn("__u", F.when(F.col("__over"), cut)).drop("__over")
+    counts = rows.groupBy("__i", "__r", "__u").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy("__i").orderBy("__r", "__u").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(F.col("__i").alias("__oi"), F.col("__r").alias("__or"), F.col("__u").alias("__ou"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("__i", "__r", "__u").orderBy("__h", F.col(id_col), "__tie")) - 1
+    rows = rows.withColumn("__k", nth)
+    here = (F.col("__i") == F.col("__oi")) & (F.col("__r") == F.col("__or")) & F.col("__u").eqNullSafe(F.col("__ou"))
+    rows = rows.join(offsets, here).withColumn("__k", F.col("__k") + F.col("__before"))
     rows = rows.withColumn("mix_block", F.floor(F.col("__k") / block_rows)).withColumn("__nth", F.col("mix_block") % F.col("__q"))
     rows = rows.join(F.broadcast(runs), ["__i", "__nth"])
     rows = rows.withColumn("mix_slot", F.floor(F.col("mix_block") / F.col("__q")) * slots + F.col("__slot"))
