@@ -12,7 +12,10 @@ fills: an estimate of the windows' Jaccard similarity, 1 for equal texts and for
 Each text is paired with the next one by descending id: rows are dealt over ranges of the id (quantiles), and the first row
 of each range is also sent to the range before it, the very first to the last.
 
-Edge cases: a null text is empty; an empty text has no windows; null ids come last; rows with equal ids follow each other in
+Memory: a worker holds two texts at a time with their arrays, about 60 bytes a code point of each. Rows of one id, and those
+without an id, follow each other and so are one task's: their neighbours are each other.
+
+Edge cases: other columns are ignored, whatever their names; a null text is empty; an empty text has no windows; null ids come last; rows with equal ids follow each other in
 the order of their compressed texts; a single row is its own next; an empty table gives none.
 """
 
@@ -34,6 +37,8 @@ BASES = (1_000_003_579, 1_768_104_233)
 WINDOW = 16
 SLOTS = 64
 LOWEST = -(1 << 63)
+#: Rows of a range, and ranges at most: beyond that ranges grow, as the driver gets two ids of each.
+RANGE_ROWS, MOST_RANGES = 20_000, 20_000
 _tables: dict[int, np.ndarray] = {}
 
 
@@ -135,11 +140,12 @@ NAMES = ["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id_col and NAMES; ``common_next`` is the common prefix with the next text.
 
-    ``ranges`` (the session's shuffle partitions unless given) bounds what reaches the driver: two ids for each range.
+    ``ranges`` (by the number of rows unless given) bounds what reaches the driver: two ids for each range.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not ranges:  # by the size of the input, and enough tasks for the session
+        ranges = min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // RANGE_ROWS)))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("__t"))
     keyed = rows.withColumn("key", F.coalesce("id", F.lit(LOWEST)))
     cuts = keyed.agg(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 10 * ranges + 1000)).first()[0]
