@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
@@ -34,6 +34,23 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id:
     return scored.where("score > 0").select(F.col("__q").alias(query_id), F.col("__d").alias(doc_id), "score")
 
 
+def best(scored: DataFrame, query_id: str, doc_id: str, top: int = TOP) -> DataFrame:
+    """The ``top`` documents of each query by score, equal scores by document; each task keeps its own best before the shuffle."""
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), doc_id)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+def ranked(docs: DataFrame, queries: DataFrame, doc_id: str, text: str, query_id: str, query: str, vector: str | None = None, asked: str | None = None, top: int = TOP) -> DataFrame:
+    """The best documents by cosine of their vectors with the query's; queries that no vector answers are ranked by BM25."""
+    lexical = best(bm25(docs, queries, doc_id, text, query_id, query), query_id, doc_id, top).withColumn("by", F.lit("bm25"))
+    if vector is None or asked is None:
+        return lexical
+    pairs = docs.select(doc_id, F.col(vector).alias("__v")).crossJoin(queries.select(query_id, F.col(asked).alias("__a")))
+    dense = pairs.select(query_id, doc_id, cosine(F.col("__v"), F.col("__a")).alias("score")).where("score > 0")
+    dense = best(dense, query_id, doc_id, top).withColumn("by", F.lit("cosine"))
+    return dense.unionByName(lexical.join(dense.select(query_id).distinct(), query_id, "left_anti"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays of numbers in double precision; null where either is zero or they differ in length."""
     a, b = a.cast("array<double>"), b.cast("array<double>")

@@ -10,7 +10,7 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from ..functions import binding, pii, scalar
+from ..functions import binding, pii, retrieval, scalar
 from ..operators import contracts, promote
 from ..sources import bronze, lake, sheets, sql, triage
 from ..streaming import incremental
@@ -717,3 +717,38 @@ def registry_access_binding(spark, d):
             ("sheet", "{} {}".format(*sheets.top_groups(sheet, "category", "v", 1).first())), ("sheet_total", "{} {}".format(*sheets.total_where(sheet, "v", "category", "B").first())), ("formula", "'=1+1" in book),
         ],
     )
+
+
+# -- retrieval -----------------------------------------------------------------------------------------------------
+_TOP3 = """WITH q AS (SELECT item_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')) AS token FROM benchmark),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+') AS tokens FROM documents),
+s AS (SELECT COUNT(*) AS n, AVG(len(tokens)) AS avgdl FROM d), t AS (SELECT doc_id, len(tokens) AS dl, unnest(tokens) AS token FROM d),
+tf AS (SELECT doc_id, dl, token, COUNT(*) AS tf FROM t GROUP BY ALL), df AS (SELECT token, COUNT(*) AS df FROM tf GROUP BY 1), qt AS (SELECT item_id, token, COUNT(*) AS times FROM q GROUP BY ALL),
+r AS (SELECT item_id, doc_id, ROUND(SUM(times * ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.5) / (tf + 1.5 * (0.25 + 0.75 * greatest(dl, 1) / avgdl))), 6) AS score FROM qt JOIN tf USING (token) JOIN df USING (token), s GROUP BY 1, 2)
+SELECT item_id, doc_id, score, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM r WHERE score > 0 QUALIFY rank <= 3"""
+
+
+@query(_TOP3)
+def retrieval_best_documents(spark, d):
+    """The three best whole documents of each benchmark item."""
+    scored = retrieval.bm25(table(spark, d, "documents"), table(spark, d, "benchmark"), "doc_id", "text", "item_id", "text")
+    return retrieval.best(scored.withColumn("score", F.round("score", 6)), "item_id", "doc_id")
+
+
+@query(values(dense="1 2", fallback="bm25 1", trigram="0.73", unlike="0.0", lexical_first="0 1", blended="1 0", hashed="3.0 64", chunk_sizes="14 20 5 3", no_text="0"))
+def retrieval_cases(spark, d):
+    docs = spark.createDataFrame([(1, "red apple", [1.0, 0.0]), (2, "green pear", [0.9, 0.1]), (3, "blue plum", None)], "id int, text string, v array<double>")
+    asked = spark.createDataFrame([(7, "anything", [1.0, 0.0]), (8, "red", None)], "q int, words string, a array<double>")
+    found = retrieval.ranked(docs, asked, "id", "text", "q", "words", "v", "a", 2).orderBy("q", "rank").collect()
+    chunked = spark.createDataFrame([(0, "red apple pie", [0.0, 1.0]), (1, "green apple", [1.0, 0.0]), (2, "", [0.0, 0.0])], "chunk_index int, text string, vector array<double>")
+    one = spark.range(1).select(
+        retrieval.trigram_similarity(F.lit("orders"), F.lit("order")).alias("a"), retrieval.trigram_similarity(F.lit("orders"), F.lit("zzz")).alias("b"), retrieval.hashed_vector(F.lit("abc")).alias("h"),
+        retrieval.chunks(F.lit("one\n\ntwo words\n\n" + "x" * 25 + "\n\nend"), 20).alias("c"), retrieval.chunks(F.lit(None).cast("string")).alias("n"),
+    ).first()
+    return _outcomes(
+        spark,
+        [
+            ("dense", " ".join(str(r.id) for r in found if r.q == 7)), ("fallback", " ".join(f"{r.by} {r.id}" for r in found if r.q == 8)), ("trigram", round(one.a, 3)), ("unlike", one.b), ("lexical_first", " ".join(str(r.chunk_index) for r in retrieval.search_chunks(chunked, "red apple").collect())),
+            ("blended", " ".join(str(r.chunk_index) for r in retrieval.search_chunks(chunked, "apple", [1.0, 0.0]).collect())), ("hashed", f"{sum(one.h)} {len(one.h)}"), ("chunk_sizes", " ".join(str(len(x)) for x in one.c)), ("no_text", len(one.n)),
+        ],
+    )

@@ -51,3 +51,28 @@ def test_bm25_searches_whole_documents(spark, small):
                 want[q, d] = s
     got = {(r.item_id, r.doc_id): r.score for r in queries.QUERIES["retrieval_bm25_documents"](spark, small).collect()}
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+def test_personal_data_is_counted_in_whole_texts(spark, small):
+    """Counts of every shape, and cards by the Luhn rule, with Python's own matcher."""
+    from quarrystone.functions import pii
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    for r in queries.QUERIES["pii_counts"](spark, small).collect():
+        t = texts[r.doc_id] or ""
+        for kind, shape in pii.VALUES.items():
+            if kind != "card":
+                assert r[kind] == len(re.findall(f"(?:{shape})" if not shape.startswith("(?i)") else shape, t)), (kind, r.doc_id)
+        assert r.cards == sum(pii.luhn_number(re.sub(r"\D", "", x)) for x in re.findall(pii.VALUES["card"], t))
+
+
+def test_chunks_hold_whole_texts(spark, small):
+    """Chunks are no longer than asked and give the text's words back in order."""
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    found = {}
+    for r in queries.QUERIES["retrieval_chunks"](spark, small).collect():
+        found.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk
+    for doc, t in texts.items():
+        parts = [found.get(doc, {})[i] for i in range(len(found.get(doc, {})))]
+        assert all(0 < len(p) <= 800 for p in parts)
+        assert "".join("".join(p.split()) for p in parts) == "".join((t or "").split())
