@@ -83,7 +83,7 @@ def governance_fan_trap(spark, d):
 _MONEY = {("orders", "o_totalprice"): "MYR", ("customer", "c_acctbal"): "USD", ("lineitem", "l_extendedprice"): "MYR", ("lineitem", "l_discount"): None, ("lineitem", "l_quantity"): None}
 
 
-@query(values(one="pass", two="currency_mismatch", unknown="currency_mismatch", no_money="pass", rate="pass", rows="pass", asked="pass", asked_other="currency_mismatch", asked_two="currency_mismatch", asked_none="pass", asked_unknown="currency_mismatch", asked_count="currency_mismatch"))
+@query(values(one="pass", two="currency_mismatch", unknown="currency_mismatch", no_money="pass", rate="pass", rows="pass", asked="pass", asked_other="currency_mismatch", asked_two="currency_mismatch", asked_none="pass", asked_unknown="currency_mismatch", asked_count="currency_mismatch", by_sign="GBP", by_lower="CNY", inside_a_name="-"))
 def governance_currency(spark, d):
     _views(spark, d, "orders", "customer", "lineitem")
     sql = {
@@ -92,6 +92,8 @@ def governance_currency(spark, d):
     }
     found = [(k, _why(governance.currency_mismatch(spark.sql(s), _MONEY))) for k, s in sql.items()]
     asked = {"asked": ("revenue in ringgit", "one"), "asked_other": ("revenue in USD", "one"), "asked_two": ("USD or EUR?", "one"), "asked_none": ("revenue", "two"), "asked_unknown": ("tax in MYR", "unknown"), "asked_count": ("orders in MYR", "rows")}
+    named = {"by_sign": "total in £?", "by_lower": "total in cnh", "inside_a_name": "sum of revenue_usd"}
+    found += [(k, " ".join(sorted(governance.asked_currencies(q))) or "-") for k, q in named.items()]
     return _outcomes(spark, found + [(k, _why(governance.question_currency(q, spark.sql(sql[s]), _MONEY))) for k, (q, s) in asked.items()])
 
 

@@ -17,7 +17,7 @@ from .outcomes import Refusal
 from .tree import Node, analyzed
 
 #: Words beside a number that make it a rank, and words after it that make it a time window.
-RANK_WORDS = {"top", "first", "best", "worst", "bottom", "lowest", "highest", "largest", "smallest", "last", "rank", "ranks", "limit"}
+RANK_WORDS = {"top", "bottom", "first", "last", "largest", "smallest", "biggest", "highest", "lowest", "best", "worst", "greatest", "most", "least"}
 TIME_UNITS = {"day", "days", "week", "weeks", "month", "months", "quarter", "quarters", "year", "years", "hour", "hours", "minute", "minutes"}
 
 
