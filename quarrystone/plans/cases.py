@@ -601,7 +601,7 @@ def pii_columns_and_masks(spark, d):
 # -- models, registry, catalogs ------------------------------------------------------------------------------------
 @query(
     values(
-        verified="True", measures="11", raw="RAW 4955.0", stock="29840.0", utilisation="65.3", reorder="3", overdue="2", net="-700.0", risk="Orbit Packing", forecast="predictive", hello="unknown_measure", clamp="True", missing="lane shipment_supplier", lane="lane_from_plant lane_to_plant ship_on_lane",
+        verified="True", measures="11", raw="RAW 4955.0", stock="29840.0", utilisation="65.3", reorder="3", overdue="2", net="-700.0", risk="Orbit Packing", forecast="predictive", hello="unknown_measure", clamp="True", missing="lane", lane="lane_from_plant lane_to_plant ship_on_lane",
         from_supplier="many_to_one", fan="fanout_refused", grains="alert day location lot product shipment supplier transaction",
     )
 )
