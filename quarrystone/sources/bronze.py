@@ -7,7 +7,7 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -17,8 +17,6 @@ from .lake import Lake
 REGISTRY = "bronze._ingest_registry"
 REGISTRY_SCHEMA = "table_name string, filename string, sha256 string, ingest_id string, row_count long, truncated boolean, extracted_at timestamp, source_kind string, untyped_numeric array<string>, space_id string"
 DEFAULT_MAX_ROWS = 500_000
-#: A cap from which on a source is read whole, in as many tasks as it has partitions.
-UNCAPPED = 1 << 62
 #: Source catalog types and what a proven column becomes; zoned times stay text.
 SOURCE_TYPES = {
     "int": "int", "integer": "int", "smallint": "int", "tinyint": "int", "mediumint": "int", "bigint": "bigint", "bit": "boolean",
@@ -209,7 +207,7 @@ def capped(lake: Lake, table: str, df: DataFrame, max_rows: int = DEFAULT_MAX_RO
     What the source gives is landed once under ``table`` and read from there: asked again, it may give other rows. Rows are numbered
     by range and the last number beyond the cap goes, so no task sees all.
     """
-    lake.write(table, df.limit(max_rows + 1) if max_rows < UNCAPPED else df)
+    lake.write(table, df.limit(max_rows + 1))
     rows = lake.read(table)
     truncated = rows.count() > max_rows
     return (rows.limit(max_rows) if truncated else rows), truncated
