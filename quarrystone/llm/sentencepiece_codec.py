@@ -29,7 +29,7 @@ from ._common import cache_of, lean, slices, small_batches, with_text
 from ._pieces import BPE, Lattice, Pieces, chunk_text, relax_bpe, relax_unigram
 
 #: Bytes of text that are indexed together.
-BATCH = 4 << 20
+BATCH = 1 << 20
 #: Distinct chunks that are matched at once, and letters that suffixes are sorted by; what longer pieces add is compared after.
 CHUNKS = 32_000
 SORTED = 8
