@@ -11,22 +11,25 @@ import pyarrow.fs as pafs
 import zstandard
 
 
+@lru_cache(1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one block: first bytes of all numbers, then second ones, and so on, compressed, so that sorted or small numbers cost little."""
-    c, parts = zstandard.ZstdCompressor(level=1), []
-    for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts.append(c.compress(a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes()))
-    return b"".join([np.array([len(parts), *map(len, parts)], np.int64).tobytes(), *parts])
+    """Arrays as one block: first bytes of all numbers, then second ones, and so on, compressed at once, so that sorted or small numbers cost little."""
+    parts = [np.ascontiguousarray(a) for a in arrays]
+    planes = b"".join([a.view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in parts])
+    return np.array([len(parts), *[a.nbytes for a in parts]], np.int64).tobytes() + _zstd()[0].compress(planes)
 
 
 def unpack(block: bytes, *kinds: type) -> list[np.ndarray]:
-    sizes = np.frombuffer(block, np.int64, 1 + len(kinds))[1:]
-    at, out = 8 * (1 + len(kinds)), []
-    for n, kind in zip(sizes, kinds, strict=True):
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(block[at : at + n]), np.uint8)
-        out.append(np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
-        at += n
+    n = 1 + len(kinds)
+    sizes, raw = np.frombuffer(block, np.int64, n)[1:].tolist(), np.frombuffer(_zstd()[1].decompress(memoryview(block)[8 * n :]), np.uint8)
+    at, out = 0, []
+    for size, kind in zip(sizes, kinds, strict=True):
+        out.append(np.ascontiguousarray(raw[at : at + size].reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel())
+        at += size
     return out
 
 
@@ -123,7 +126,11 @@ class PackedTable:
         """The values of each (shard, key), zeros where it is absent; any order."""
         width = self.columns or 1
         out = np.zeros((len(keys), width), np.int64)
-        order = np.lexsort((keys, shards))
+        if not len(keys):
+            return out if self.columns else out[:, 0]
+        spread = np.uint64(64 - self.KEY - int(shards.max()).bit_length())
+        both = ((shards.astype(np.uint64) << np.uint64(self.KEY)) | keys) << spread
+        order = np.arange(len(keys)) if (both[1:] >= both[:-1]).all() else order_of(both)
         high, low = (keys[order] >> np.uint64(6)).astype(np.uint32), (keys[order] & np.uint64(63)).astype(np.uint8)
         for a, b, k in runs(shards[order]):
             raw = mapped(self.folder, f"{self.kind}-{k}", True)
@@ -158,6 +165,27 @@ def shard_of(keys: np.ndarray, bits: int) -> np.ndarray:
     return (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
 
 
+def order_of(x: np.ndarray) -> np.ndarray:
+    """Indices that put unsigned 64-bit numbers in order, equal ones as they came. Hashes are sorted by their top bits with the index
+    in the others, which is a plain sort; where that leaves another order, as numbers agree in the top bits, they are sorted as they are."""
+    n = np.uint64(len(x).bit_length())
+    packed = (x >> n << n) | np.arange(len(x), dtype=np.uint64)
+    packed.sort()
+    order = (packed & ((np.uint64(1) << n) - np.uint64(1))).astype(np.int64)
+    y = x[order]
+    return order if (y[1:] >= y[:-1]).all() else np.argsort(x, kind="stable")
+
+
+def distinct_of(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers and the place of each number among them."""
+    order = order_of(x)
+    y = x[order]
+    new = np.r_[True, y[1:] != y[:-1]][: len(y)]
+    back = np.empty(len(x), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return y[new], back
+
+
 def merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys and the sums of their counts, in 64 bits."""
     k, c = (np.concatenate(x) if x else np.zeros(0, t) for x, t in ((keys, np.uint64), (counts, np.int64)))

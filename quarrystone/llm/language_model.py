@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import lean, remove, shared_path, slices, small_batches, stored
-from ._store import PackedTable, SortedHashes, mapped, merge, pack, runs, shard_of, unpack, write
+from ._store import PackedTable, SortedHashes, distinct_of, mapped, merge, pack, runs, shard_of, unpack, write
 from ._words import Words, mix
 
 END = np.uint64(0x656E64)
@@ -41,6 +41,8 @@ SHARD_BYTES = 16 << 20
 MAX_BITS = 20
 #: Distinct words, and tokens, that a map task holds before it sends them.
 HOLD = 2_000_000
+#: Tokens that are looked up at once: a look-up of a batch costs a call for each shard, so small batches would cost shards x input.
+ASK = 1 << 20
 LOW = np.uint64(0xFFFFFFFF)
 SHIFT = np.uint64(32)
 
@@ -56,13 +58,17 @@ def tokens(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pair_key(pair: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard and key of pairs of ids; a pair is one 64-bit number."""
-    h = mix(pair)
+    return hash_key(mix(pair), bits)
+
+
+def hash_key(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from mixed pairs; their order is the order of shards and keys."""
     return shard_of(h, bits), (h << np.uint64(bits)) >> np.uint64(64 - PackedTable.KEY)
 
 
-def triple_key(pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """Key of a trigram in the shard of its first two words."""
-    return mix(mix(pair) + word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PackedTable.KEY)
+def triple_key(mixed: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Key of a trigram in the shard of its first two words, which are given as a mixed pair."""
+    return mix(mixed + word * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - PackedTable.KEY)
 
 
 @dataclass
@@ -97,7 +103,7 @@ class Model:
 
     def ids(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Id and training count of each token; -1 and 0 for an unknown one."""
-        distinct, back = np.unique(hashes, return_inverse=True)
+        distinct, back = distinct_of(hashes)
         place, count = self.words.find(distinct)
         return place[back], count[back]
 
@@ -132,15 +138,13 @@ def _reduced(rows: DataFrame, n: int, reduce, schema: str) -> DataFrame:
     return rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard").mapInArrow(lean(run), schema)
 
 
-def _blocks(shards: np.ndarray, packed) -> pa.RecordBatch:
-    """One row (shard, block) for each run of equal shards."""
-    rows = [(k, packed(a, b)) for a, b, k in runs(shards)]
-    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "block"])
+def _rows(blocks: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([k for k, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["shard", "block"])
 
 
 def _counted_words(rows: DataFrame, bits: int) -> DataFrame:
     def sent(keys, counts):
-        return _blocks(shard_of(keys, bits), lambda a, b: pack(keys[a:b], counts[a:b]))
+        return _rows([(k, pack(keys[a:b], counts[a:b])) for a, b, k in runs(shard_of(keys, bits))])
 
     def run(batches):
         held, size = [], 0
@@ -162,41 +166,60 @@ def _counted_words(rows: DataFrame, bits: int) -> DataFrame:
 
 def summed(pair: np.ndarray, word: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct (pair, word) in order and the sums of their counts (1 each unless given)."""
-    order = np.lexsort((word, pair))
-    pair, word = pair[order], word[order]
-    first = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])][: len(pair)])
-    n = np.diff(np.r_[first, len(pair)]) if counts is None else np.add.reduceat(counts[order], first) if len(pair) else counts
-    return pair[first], word[first], n.astype(np.int64)
+    order = np.argsort(pair)
+    pair = pair[order]
+    new = np.r_[True, pair[1:] != pair[:-1]][: len(pair)]
+    both = (np.cumsum(new).astype(np.uint64) - np.uint64(1) << SHIFT) | word[order].astype(np.uint64)
+    if counts is None:
+        both.sort()
+    else:
+        by = np.argsort(both)
+        both, counts = both[by], counts[order][by]
+    first = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
+    n = np.diff(np.r_[first, len(both)]) if counts is None else np.add.reduceat(counts, first) if len(both) else counts
+    both = both[first]
+    return pair[new][(both >> SHIFT).astype(np.int64)], both & LOW, n.astype(np.int64)
+
+
+def _pair_blocks(pair: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> list[tuple[int, bytes]]:
+    """(shard, block) of rows in order of shard, pair and word. A block: distinct pairs as differences of first words, second words, words a pair, then words and counts."""
+    new = np.r_[True, shards[1:] != shards[:-1]][: len(shards)]
+    head = np.flatnonzero(new | np.r_[True, pair[1:] != pair[:-1]][: len(pair)])
+    u, v, n = (pair[head] >> SHIFT).astype(np.uint32), (pair[head] & LOW).astype(np.uint32), np.diff(np.r_[head, len(pair)]).astype(np.uint32)
+    step = np.where(new[head], u, np.diff(u, prepend=np.uint32(0)))
+    at, word = np.flatnonzero(new), word.astype(np.uint32)
+    rows, heads = np.r_[at, len(pair)].tolist(), np.r_[np.searchsorted(head, at), len(head)].tolist()
+    return [(k, pack(step[c:d], v[c:d], n[c:d], word[a:b], counts[a:b])) for k, a, b, c, d in zip(shards[at].tolist(), rows, rows[1:], heads, heads[1:])]
 
 
 def _packed_pairs(pair: np.ndarray, word: np.ndarray, counts: np.ndarray) -> bytes:
-    """Rows in order of pair and word: distinct pairs as differences of first words, second words, words a pair, then words and counts."""
-    head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-    u = (pair[head] >> SHIFT).astype(np.uint32)
-    return pack(np.diff(u, prepend=np.uint32(0)), (pair[head] & LOW).astype(np.uint32), np.diff(np.r_[head, len(pair)]).astype(np.uint32), word.astype(np.uint32), counts)
+    return _pair_blocks(pair, word, counts, np.zeros(len(pair), np.int64))[0][1]
 
 
 def _unpacked_pairs(blocks: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = []
     for b in blocks:
-        u, v, n, word, counts = unpack(b, *[np.uint32] * 4, np.int64)
-        pair = (np.cumsum(u, dtype=np.uint64) << SHIFT) | v.astype(np.uint64)
-        parts.append((np.repeat(pair, n), word.astype(np.uint64), counts))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        u, *rest = unpack(b, *[np.uint32] * 4, np.int64)
+        parts.append((np.cumsum(u, dtype=np.uint64), *rest))
+    u, v, n, word, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return np.repeat((u << SHIFT) | v, n), word.astype(np.uint64), counts
 
 
 def _by_shard(pair: np.ndarray, word: np.ndarray, counts: np.ndarray, shards: np.ndarray) -> pa.RecordBatch:
     order = np.argsort(shards.astype(np.uint16) if shards.max(initial=0) < 1 << 16 else shards, kind="stable")
-    pair, word, counts = pair[order], word[order], counts[order]
-    return _blocks(shards[order], lambda a, b: _packed_pairs(pair[a:b], word[a:b], counts[a:b]))
+    return _rows(_pair_blocks(pair[order], word[order], counts[order], shards[order]))
+
+
+def _joined(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and offsets of several runs of texts as one."""
+    return np.concatenate([h for h, _ in held]), np.r_[0, np.cumsum(np.concatenate([np.diff(first) for _, first in held]))]
 
 
 def _trigrams(model: Model):
-    """Pairs and words of every token of a string column: (start, start) and (start, first word) are pairs too."""
+    """Pairs and words of every token: (start, start) and (start, first word) are pairs too."""
     start = np.uint64(model.vocabulary)
 
-    def of(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        h, first = tokens(col)
+    def of(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = model.ids(h)[0].astype(np.uint64)
         v = np.r_[start, w[:-1]]
         v[first[:-1]] = start
@@ -215,14 +238,19 @@ def _counted_trigrams(rows: DataFrame, model: Model) -> DataFrame:
         return _by_shard(pair, word, counts, pair_key(pair, bits)[0])
 
     def run(batches):
-        held, size = [], 0
+        held, size, told, asked = [], 0, [], 0
         for batch in batches:
             for part in slices(batch, "__t"):
-                held.append(of(part.column(0)))
-                size += len(held[-1][0])
-                if size > HOLD:
-                    yield sent(held)
-                    held, size = [], 0
+                told.append(tokens(part.column(0)))
+                asked += len(told[-1][0])
+                if asked > ASK:
+                    held.append(of(*_joined(told)))
+                    size, told, asked = size + asked, [], 0
+                    if size > HOLD:
+                        yield sent(held)
+                        held, size = [], 0
+        if told:
+            held.append(of(*_joined(told)))
         if held:
             yield sent(held)
 
@@ -283,7 +311,7 @@ def train(docs: DataFrame, text: str = "text", shard_bytes: int = SHARD_BYTES) -
 
     def trigrams_done(k, blocks):
         pair, word, counts = summed(*_unpacked_pairs(blocks))
-        model.triples.write(k, triple_key(pair, word), counts)
+        model.triples.write(k, triple_key(mix(pair), word), counts)
         head = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
         by = [np.add.reduceat((counts == 1).astype(np.int64), head), np.add.reduceat((counts == 2).astype(np.int64), head), np.add.reduceat((counts > 2).astype(np.int64), head), np.add.reduceat(counts, head)]
         often = (by[3] > 1) | (pair[head] == start)
@@ -346,7 +374,7 @@ def _cut(discounts: tuple[float, float, float], counts: np.ndarray) -> np.ndarra
 def probabilities(m: Model, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """By token: log10 of the model's and of the base probability, and whether the word is known."""
     v, (d1, d2, d3) = m.vocabulary, m.discounts
-    distinct, back = np.unique(h, return_inverse=True)
+    distinct, back = distinct_of(h)
     ids, counts = m.words.find(distinct)
     base = np.log10((counts[back] + 1.0) / (m.n_tokens + v + 1))
     if not v:
@@ -366,26 +394,26 @@ def probabilities(m: Model, h: np.ndarray, first: np.ndarray) -> tuple[np.ndarra
     before[start] = len(ids)
     of = np.r_[ids, v]
     there = (of[before] >= 0) & (ids[back] >= 0)
-    pair = (of[before].astype(np.uint64) << SHIFT) | ids[back].astype(np.uint64)
-    pairs, place = np.unique(pair[there], return_inverse=True)
+    pair = mix((of[before].astype(np.uint64) << SHIFT) | ids[back].astype(np.uint64))
+    pairs, place = distinct_of(pair[there])
     cont = np.zeros(len(h), np.int64)
-    cont[there] = m.continuations.find(*pair_key(pairs, m.bits))[place]
+    cont[there] = m.continuations.find(*hash_key(pairs, m.bits))[place]
     rest = d2[0] * own[0] + d2[1] * own[1] + d2[2] * own[2]
     has = own[3][before] > 0
     b = before[has]
     p[has] = (_cut(d2, cont[has]) + rest[b] * p[has]) / own[3][b]
     # three words: the context is the pair that ends at the word before
     context = np.r_[np.uint64(0), pair[:-1]]
-    context[start] = np.uint64((v << 32) | v)
+    context[start] = mix(np.array([(v << 32) | v], np.uint64))
     seen = np.r_[False, cont[:-1] > 0] | start
     at = np.flatnonzero(seen)
-    contexts, place = np.unique(context[at], return_inverse=True)
-    stats = m.contexts.find(*pair_key(contexts, m.bits))[place]
+    contexts, place = distinct_of(context[at])
+    stats = m.contexts.find(*hash_key(contexts, m.bits))[place]
     stats[stats[:, 3] == 0] = (1, 0, 0, 1)  # seen, but not kept: once, with one follower
     c = np.zeros(len(at), np.int64)
     some = np.flatnonzero(cont[at] > 0)
     t = at[some]
-    c[some] = m.triples.find(pair_key(context[t], m.bits)[0], triple_key(context[t], ids[back[t]].astype(np.uint64)))
+    c[some] = m.triples.find(shard_of(context[t], m.bits), triple_key(context[t], ids[back[t]].astype(np.uint64)))
     p[at] = (_cut(d3, c) + (stats[:, :3] @ np.array(d3)) * p[at]) / stats[:, 3]
     return np.log10(p), base, counts[back] > 0
 
@@ -398,14 +426,27 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     docs = docs.withColumn("__t", F.col(text)).drop(text, *names)
     kept = [c for c in docs.columns if c != "__t"]
 
+    def scored(held):
+        h, first = _joined([x for _, *x in held])
+        own, base, known = probabilities(model, h, first)
+        at = first[:-1]
+        columns = [np.diff(first), np.add.reduceat(known.astype(np.int64), at), np.full(len(at), model.n_tokens, np.int64), np.add.reduceat(base, at), np.add.reduceat(own, at)]
+        a = 0
+        for part, _, f in held:
+            yield pa.RecordBatch.from_arrays([*part, *[pa.array(c[a : a + len(f) - 1]) for c in columns]], [*kept, *names])
+            a += len(f) - 1
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             for part in slices(batch, "__t"):
-                h, first = tokens(part.column(part.num_columns - 1))
-                own, base, known = probabilities(model, h, first)
-                at = first[:-1]
-                columns = [np.diff(first), np.add.reduceat(known.astype(np.int64), at), np.full(len(at), model.n_tokens, np.int64), np.add.reduceat(base, at), np.add.reduceat(own, at)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, columns)], [*kept, *names])
+                held.append((part.columns[:-1], *tokens(part.column(part.num_columns - 1))))
+                size += len(held[-1][1])
+                if size > ASK:
+                    yield from scored(held)
+                    held, size = [], 0
+        if held:
+            yield from scored(held)
 
     kinds = {x.split()[0]: F.lit(0).cast(x.split()[1]) for x in added.split(", ")}
     return docs.select(*kept, "__t").mapInArrow(lean(run), docs.select(*kept).withColumns(kinds).schema)

@@ -54,3 +54,36 @@ def test_model_folder_goes(spark):
     assert os.path.isdir(folder)
     model.remove(spark)
     assert not os.path.exists(folder)
+
+
+def test_lookups_do_not_grow_with_batches(spark, monkeypatch):
+    """Every look-up visits all shards, so many small batches are looked up at once, with the scores of one by one."""
+    import pyarrow as pa
+
+    rows = [(i, f"w{i % 7} w{i % 5} w{i % 3} Ä{i}") for i in range(60)] + [(60, None), (61, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = language_model.train(docs, shard_bytes=40)
+    assert model.bits > 2
+    runs, calls, find = [], [], PackedTable.find
+    monkeypatch.setattr(language_model, "lean", lambda run: runs.append(run) or run)
+    want = {r.doc_id: tuple(r) for r in language_model.score(docs, model).collect()}
+    monkeypatch.setattr(PackedTable, "find", lambda self, *a: calls.append(self.kind) or find(self, *a))
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([t], pa.string())], ["doc_id", "__t"]) for i, t in rows]
+    got = [r for b in runs[-1](iter(batches)) for r in zip(*b.to_pydict().values(), strict=True)]
+    assert {r[0]: r for r in got} == want and len(got) == len(rows)
+    assert len(calls) <= 3
+
+
+def test_orders_are_those_of_plain_sorts():
+    rng = np.random.default_rng(2)
+    for x in (rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2), rng.integers(0, 9, 3000, dtype=np.uint64), np.zeros(0, np.uint64), np.array([3, 1, 3], np.uint64) + (np.uint64(1) << np.uint64(63))):
+        assert (_store.order_of(x) == np.argsort(x, kind="stable")).all()
+        assert all((a == b).all() for a, b in zip(_store.distinct_of(x), np.unique(x, return_inverse=True), strict=True))
+    pair, word = rng.integers(0, 1 << 63, 40, dtype=np.uint64)[rng.integers(0, 40, 5000)], rng.integers(0, 30, 5000, dtype=np.uint64)
+    n = rng.integers(1, 1 << 40, 5000)
+    for counts in (None, n):
+        want = {}
+        for k, c in zip(zip(pair.tolist(), word.tolist(), strict=True), n.tolist(), strict=True):
+            want[k] = want.get(k, 0) + (1 if counts is None else c)
+        p, w, c = language_model.summed(pair, word, counts)
+        assert list(zip(p.tolist(), w.tolist(), c.tolist(), strict=True)) == [(*k, v) for k, v in sorted(want.items())]
