@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 K1, B, TOP = 1.5, 0.75, 3
+#: Vectors of a block, and pairs of a batch, of ``cosines``.
+BLOCK, PAIRS = 512, 1 << 16
 
 
 def tokens(c: Column) -> Column:
@@ -59,6 +63,77 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot / F.nullif(norm(a) * norm(b), F.lit(0.0)))
 
 
+def _vector_blocks(df: DataFrame, key: str, vector: str) -> DataFrame:
+    """Up to BLOCK vectors of equal length a row: their keys, and their numbers as bytes; vectors that are null or hold null are of length -1."""
+
+    def run(batches):
+        held: dict[int, tuple[list, list]] = {}
+
+        def full(n):
+            keys, rows = held.pop(n)
+            return pa.RecordBatch.from_arrays([pa.array([keys], pa.list_(kind)), pa.array([n], pa.int32()), pa.array([b"".join(rows)], pa.binary())], ["keys", "n", "raw"])
+
+        for batch in batches:
+            kind = batch.column(0).type
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                v = v.values
+                n = -1 if v is None or v.null_count else len(v)
+                keys, rows = held.setdefault(n, ([], []))
+                keys.append(k)
+                if n > 0:
+                    rows.append(v.to_numpy().tobytes())
+                if len(keys) == BLOCK:
+                    yield full(n)
+        for n in list(held):
+            yield full(n)
+
+    of = df.select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    return of.mapInArrow(run, f"keys array<{of.schema['k'].dataType.simpleString()}>, n int, raw binary")
+
+
+def cosines(docs: DataFrame, queries: DataFrame, doc_id: str, vector: str, query_id: str, asked: str) -> DataFrame:
+    """``cosine`` of every query and document, (query_id, doc_id, cosine), by blocks: products are added up dimension by
+    dimension in double precision, in the order of ``cosine``, so its values come out. Blocks of both sides are dealt out, so no task or driver holds all vectors.
+    """
+    tasks = max(1, docs.sparkSession.sparkContext.defaultParallelism)
+    left = _vector_blocks(docs, doc_id, vector).repartition(4 * tasks)
+    right = _vector_blocks(queries, query_id, asked).select(*[F.col(c).alias(f"q_{c}") for c in ("keys", "n", "raw")]).repartition(tasks)
+
+    def run(batches):
+        def added(x, y):
+            out, term = np.zeros(np.broadcast_shapes(x[:, :1].shape, y[0].shape)), np.empty(np.broadcast_shapes(x[:, :1].shape, y[0].shape))
+            for i in range(x.shape[1]):
+                out += np.multiply(x[:, i, None], y[i], out=term)
+            return out
+
+        def norms(x):
+            out = np.zeros(len(x))
+            for i in range(x.shape[1]):
+                out += x[:, i] * x[:, i]
+            return np.sqrt(out)
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                keys, n, raw, q_keys, q_n, q_raw = (batch.column(c)[row] for c in range(6))
+                keys, q_keys, n, q_n = keys.values, q_keys.values, n.as_py(), q_n.as_py()
+                step = max(1, PAIRS // len(keys))
+                for a in range(0, len(q_keys), step):
+                    part = q_keys.slice(a, step)
+                    value, null = np.zeros((len(part), len(keys))), np.ones((len(part), len(keys)), bool)
+                    if n == q_n and n > 0:
+                        x = np.frombuffer(q_raw.as_buffer(), np.float64).reshape(-1, n)[a : a + step]
+                        y = np.frombuffer(raw.as_buffer(), np.float64).reshape(-1, n)
+                        with np.errstate(all="ignore"):
+                            size = norms(x)[:, None] * norms(y)
+                            null = size == 0
+                            value = added(x, np.ascontiguousarray(y.T)) / size
+                    ids = pa.array(np.repeat(np.arange(len(part)), len(keys))), pa.array(np.tile(np.arange(len(keys)), len(part)))
+                    yield pa.RecordBatch.from_arrays([part.take(ids[0]), keys.take(ids[1]), pa.array(value.ravel(), mask=null.ravel())], [query_id, doc_id, "cosine"])
+
+    kinds = queries.schema[query_id].dataType.simpleString(), docs.schema[doc_id].dataType.simpleString()
+    return left.crossJoin(right).mapInArrow(run, f"`{query_id}` {kinds[0]}, `{doc_id}` {kinds[1]}, cosine double")
+
+
 def trigrams(c: Column) -> Column:
     """Character trigrams of the lower-case text padded with one space on both sides."""
     t = F.concat(F.lit(" "), F.lower(F.coalesce(c, F.lit(""))), F.lit(" "))

@@ -436,7 +436,7 @@ def retrieval_bm25_documents(spark, d):
 def retrieval_cosine_queries(spark, d):
     e = table(spark, d, "embeddings")
     asked = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    return e.crossJoin(asked).select("query_id", "vec_id", F.round(retrieval.cosine(F.col("embedding"), F.col("asked")), 9).alias("cosine"))
+    return retrieval.cosines(e, asked, "vec_id", "embedding", "query_id", "asked").withColumn("cosine", F.round("cosine", 9))
 
 
 @query()

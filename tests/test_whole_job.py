@@ -34,6 +34,23 @@ def test_cosine_takes_every_twentieth_row_against_all(spark, small):
         assert abs(c - v[q] @ v[i] / np.linalg.norm(v[q]) / np.linalg.norm(v[i])) < 1e-8
 
 
+def test_cosines_by_blocks_equal_cosines_by_pairs(spark, small, monkeypatch):
+    """No pair is computed by itself, and odd vectors, lengths and blocks give what single pairs give, to the bit."""
+    from pyspark.sql import functions as F
+
+    from quarrystone.functions import retrieval
+
+    assert "zip_with" not in queries.QUERIES["retrieval_cosine_queries"](spark, small)._jdf.queryExecution().toString()
+    monkeypatch.setattr(retrieval, "BLOCK", 3)
+    monkeypatch.setattr(retrieval, "PAIRS", 4)
+    odd = [None, [], [0.0, 0.0], [1.0, None], [float("nan"), 1.0], [float("inf"), 1.0], [3e200, 1.0], [1e-200, 0.0], [1.0], [1.0, 2.0, 3.0], [0.1, 0.7], [-0.3, 0.9], [0.1, 0.7]]
+    rows = spark.createDataFrame([*enumerate(odd), (None, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    asked = rows.select(F.concat(F.lit("q"), F.col("vec_id")).alias("query_id"), F.col("embedding").alias("asked"))
+    pairs = rows.crossJoin(asked).select("query_id", "vec_id", retrieval.cosine(F.col("embedding"), F.col("asked")).alias("cosine"))
+    got = retrieval.cosines(rows, asked, "vec_id", "embedding", "query_id", "asked")
+    assert sorted(map(str, got.collect())) == sorted(map(str, pairs.collect())) and got.count() == 14 * 14
+
+
 def test_bm25_searches_whole_documents(spark, small):
     def bags(name, key):
         rows = spark.read.parquet(f"{small}/{name}.parquet").select(key, "text").collect()
