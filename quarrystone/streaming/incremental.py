@@ -19,6 +19,9 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import quote
 
+#: Rows that the k-th watermark is picked from at once, and values that cut a larger range.
+PICK, CUTS = 20_000, 64
+
 
 @dataclass(frozen=True)
 class SourceSpec:
@@ -108,13 +111,52 @@ def interval(spec: SourceSpec, ledger: Ledger) -> tuple[DataFrame, Column]:
     return (df if low is None else df.where(w > F.lit(low).cast(df.schema[spec.watermark].dataType))), w
 
 
+def kth(df: DataFrame, w: Column, k: int) -> str | None:
+    """The k-th smallest value of ``w``, null ones left out, as text; None where there are fewer.
+
+    Ranges between a few sampled values are counted, and the one that holds the k-th is cut again until it has PICK rows or is one
+    value, so the driver never gets more than that. The sample only says where to cut; every row is counted.
+    """
+    rows = df.select(w.alias("w")).where("w is not null")
+    kind, n = rows.schema["w"].dataType, rows.count()
+    if not 0 < k <= n:
+        return None
+    while n > PICK:
+        # the bounds travel as text, as marks do, and are compared as what that text means
+        some = rows.sample(min(1.0, PICK / 4 / n)).select(F.col("w").cast("string").cast(kind).alias("w")).agg(F.array_sort(F.collect_set("w")).cast("array<string>")).first()[0]
+        cuts = some[:: max(1, -(-len(some) // CUTS))]
+        if not cuts:
+            continue
+        bounds, place = [F.lit(c).cast(kind) for c in cuts], None
+        for i in range(len(cuts)):  # 2 i: below cut i; 2 i + 1: the cut itself
+            below, at = F.col("w") < bounds[i], F.col("w") == bounds[i]
+            place = F.when(below, 2 * i).when(at, 2 * i + 1) if place is None else place.when(below, 2 * i).when(at, 2 * i + 1)
+        counts = dict(rows.groupBy(place.otherwise(2 * len(cuts)).alias("at")).count().collect())
+        for at in range(2 * len(cuts) + 1):
+            if k <= counts.get(at, 0):
+                break
+            k -= counts.get(at, 0)
+        else:
+            return None
+        if at % 2:
+            return cuts[at // 2]
+        if counts[at] == n:  # no text says what lies between
+            break
+        if at:
+            rows = rows.where(F.col("w") > bounds[at // 2 - 1])
+        if at < 2 * len(cuts):
+            rows = rows.where(F.col("w") < bounds[at // 2])
+        n = counts[at]
+    return rows.orderBy("w").offset(k - 1).limit(1).select(F.col("w").cast("string")).first()[0]
+
+
 def next_high(spec: SourceSpec, ledger: Ledger, batch_size: int | None) -> str | None:
     """The upper bound of the next batch: the batch_size-th watermark, or the largest; ties are never split."""
     df, w = interval(spec, ledger)
     if batch_size:
-        row = df.select(w.alias("w")).orderBy("w").offset(batch_size - 1).limit(1).select(F.col("w").cast("string")).collect()
-        if row:
-            return row[0][0]
+        high = kth(df, w, batch_size)
+        if high is not None:
+            return high
     return df.agg(F.max(w).cast("string")).first()[0]
 
 

@@ -141,6 +141,24 @@ def source(spark, rows):
     return data, incremental.SourceSpec("orders", lambda: spark.createDataFrame(data["rows"], "order_id int, seq int, amount double"), ("order_id",), "seq")
 
 
+def test_batch_bound_is_found_without_sorting_to_the_driver(spark, monkeypatch):
+    """The k-th watermark of many rows, ties and types, with few rows picked from at once."""
+    from pyspark.sql import functions as F
+
+    offsets, frame = [], type(spark.range(0))
+    plain = frame.offset
+    monkeypatch.setattr(frame, "offset", lambda self, n: offsets.append(n) or plain(self, n))
+    monkeypatch.setattr(incremental, "PICK", 50, raising=False)
+    df = spark.range(0, 3000, 1, 6).select(F.pmod(F.col("id") * 7919, F.lit(3001)).alias("i"), F.when(F.col("id") % 3 > 0, F.lit(5)).otherwise(F.col("id") % 11).alias("ties"))
+    df = df.select("i", "ties", F.timestamp_micros(F.col("i") * 1_000_003).alias("ts"), F.concat(F.lit("k"), "i").alias("s"), (F.col("i") / 7).alias("x"), F.when(F.col("i") > 2990, None).otherwise(F.col("i")).alias("some")).localCheckpoint()
+    for c in df.columns:
+        want = [r[0] for r in df.select(F.col(c).alias("w")).where("w is not null").orderBy("w").select(F.col("w").cast("string")).collect()]
+        spec = incremental.SourceSpec("e", lambda: df, ("i",), c)
+        for k in (1, 1500, len(want), len(want) + 1):
+            assert incremental.next_high(spec, incremental.Ledger(spark, "/tmp/none"), k) == want[min(k, len(want)) - 1], (c, k)
+    assert max(offsets) < 50
+
+
 def test_incremental_batches_ties_and_late_rows(spark, tmp_path):
     data, spec = source(spark, [(1, 1, 1.0), (2, 2, 1.0), (3, 2, 1.0), (4, 3, 1.0), (5, None, 1.0)])
     ledger = incremental.Ledger(spark, str(tmp_path / "l"))
